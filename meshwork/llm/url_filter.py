@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 DIMENSIONS, GRAMS = 1024, (3, 4)
 #: Labelled rows that training reads at most; more is an error, not a cut.
 MAX_LABELLED = 2000
-EPOCHS, RATE, DECAY = 8, 0.5, 1e-4
+EPOCHS, RATE, DECAY = 20, 1.0, 1e-4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -129,7 +129,7 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return (F.lit(None).cast("string"),) * 2 if name is None else (name, verdict)
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, threshold: float = 0.6) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, score.
 
     A null url, or one without ``://``, has empty host and path; like every url
