@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .line_dedup import line_dedup
 from .media import media_columns
+from .near_dedup import QUERY, near_groups
 from .packing import best_fit_packing
+from .span_dedup import span_dedup
 from .token_counts import token_counts
 from .url_filter import filter_urls
 
@@ -22,8 +26,12 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": _over("documents", line_dedup),
+        "op2_minhash_near_dedup": _over("documents", lambda docs: near_groups(docs, QUERY)),
         "op3_url_filters": _over("pages", filter_urls),
         "op4_token_counts": _over("documents", token_counts),
+        "op5_substring_dedup": _over("documents", span_dedup),
+        "op6_language_id": _over("documents", language_id),
         "op7_media_columns": _over("documents", lambda docs: media_columns(docs, with_media=False).drop("media", "times", "codes")),
         "op8_best_fit_packing": _over("documents", best_fit_packing),
         "op9_bpe_round_trip": _over("documents", bpe_round_trip),

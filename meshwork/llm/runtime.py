@@ -14,6 +14,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _WRITTEN: dict[str, list[str]] = {}
@@ -80,8 +81,18 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Only the two columns that the operators read, under fixed names."""
-    from pyspark.sql import functions as F
+def documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """Only the two columns that the operators read, under fixed names.
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    With ``carry``, also a struct ``more`` of columns to hand through untouched.
+    """
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if carry is None:
+        return own
+    more = F.struct(*(F.col(name).alias(f"c{k}") for k, name in enumerate(carry))) if carry else F.struct(F.lit(0).alias("c"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), more.alias("more"))
+
+
+def unpacked(df: DataFrame, carry: list[str]) -> DataFrame:
+    """The carried columns of ``more`` under their own names."""
+    return df.select(*(c for c in df.columns if c != "more"), *(F.col(f"more.c{k}").alias(name) for k, name in enumerate(carry)))
