@@ -25,10 +25,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -37,6 +36,8 @@ from .shingles import mix, shingle_set
 
 #: Shingle hashes in one block of the exact rest, about.
 BLOCK_SHINGLES = 500_000
+#: Bits of the filter on document ids: 2 MB, broadcast with the function that uses it.
+FILTER_BITS = 1 << 24
 
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>"
 
@@ -101,15 +102,37 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
     return documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, SIGNATURE)
 
 
-def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
-    """Per row: node and its sorted shingle hashes."""
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits in 64-bit words, one set for each id: of the same size whatever the ids."""
+    slots = ids.select(_slot().alias("slot"))
+    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, near: Near) -> DataFrame:
+    """node and its sorted shingle hashes, of the documents whose ids are wanted.
+
+    A bitmap of fixed size keeps most other texts from being shuffled; what it
+    lets through by chance the join takes out.
+    """
+    bitmap = id_bitmap(wanted)
 
     def run(batches):
         for batch in batches:
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[slot >> 6] >> (slot & 63)) & 1 == 1))
             sets = [shingle_set(raw or b"", near.words).view(np.int64) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    return documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "node long, hashes array<long>")
+    rows = documents(docs).where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw"), _slot().alias("slot"))
+    sets = rows.mapInArrow(run, "node long, hashes array<long>")
+    return sets.join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi")
 
 
 def _linked(common, n, m, percent: int):
@@ -222,7 +245,7 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     links = [alike]
     if not is_empty(live):
         wanted = live.select(F.col("node").alias("doc_id")).distinct()
-        sets = materialize(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), near), "sets")
+        sets = materialize(shingle_sets(docs, wanted, near), "sets")
         for _ in range(near.stars):
             edges, centres = star_edges(live, near)
             found = materialize(verified(edges, sets, near), "links")
