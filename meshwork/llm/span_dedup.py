@@ -2,12 +2,13 @@
 
 A text is a chain of sentences, each with the white space after it.  A
 sentence ends after closing punctuation, at a line's end, or before a
-capitalised word that follows a lower-case one, so that a passage pasted into
-another sentence still begins a sentence of its own.  Every run of
-``span`` consecutive sentences is hashed over its words; a shorter run counts
-as well once it has ``long_words`` words.  Hashes are joined over all
-documents, and a sentence goes that lies in a run of which an earlier copy
-exists: in a smaller doc_id, or before it in its own document.
+capitalised word that follows another, so that a passage pasted into another
+sentence still begins a sentence of its own.  Every run of ``span``
+consecutive sentences is hashed over its words, and goes on, forwards and
+backwards, until it has ``least_words`` words; a shorter run counts as well
+once it has ``long_words`` words.  Hashes are joined over all documents, and a
+sentence goes that lies in a run of which an earlier copy exists: in a smaller
+doc_id, or before it in its own document.
 
 Only one row for each distinct span of a document leaves its task, so a span
 repeated within a document is no hot key, and the smallest doc_id of a span is
@@ -29,15 +30,20 @@ from .runtime import documents, materialize, prepare, unpacked
 from .shingles import mix
 
 #: Ends of sentences: after closing punctuation, a line's end, or before a capital.
-SENTENCE_END = re.compile(r"(?<=[.!?…。！？])\s+|\n+|(?<=[a-zß-öø-ÿ,;:])\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+SENTENCE_END = re.compile(r"(?<=[.!?…。！？])\s+|\n+|(?<=[^\sA-ZÀ-ÖØ-Þ])\s+(?=[A-ZÀ-ÖØ-Þ])")
+
+
+#: An odd number and its inverse, modulo 2**64: a run's hash is a polynomial in it.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @dataclass(frozen=True)
 class Spans:
-    """span: sentences in a run; a run counts from least_words on, a shorter one from long_words on."""
+    """span and least_words: sentences and words of a run at least; from long_words on fewer sentences do."""
 
     span: int = 3
-    least_words: int = 8
+    least_words: int = 12
     long_words: int = 30
 
 
@@ -64,22 +70,28 @@ def spans_of(parts: list[str], rule: Spans) -> tuple[np.ndarray, np.ndarray, np.
     h, words = sentence_hashes(parts)
     full = np.flatnonzero(words)
     h, words = h[full], words[full]
-    first, size, keys = [], [], []
-    for k in range(1, rule.span + 1):
-        if len(h) < k:
-            break
-        n = len(h) - k + 1
-        total, key = np.zeros(n, np.int64), np.full(n, k, np.uint64)
-        for j in range(k):
-            total += words[j : n + j]
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h[j : n + j])
-        counts = np.flatnonzero(total >= (rule.least_words if k == rule.span else rule.long_words))
-        first.append(full[counts])
-        size.append(full[counts + k - 1] - full[counts] + 1)
-        keys.append(key[counts])
-    if not keys:
+    n = len(h)
+    before = np.append(0, np.cumsum(words))
+    starts, ends = [], []
+    if n >= rule.span:
+        i, j = np.arange(n), np.arange(1, n + 1)
+        end = np.maximum(i + rule.span, np.searchsorted(before, before[i] + rule.least_words))
+        start = np.minimum(j - rule.span, np.searchsorted(before, before[j] - rule.least_words, "right") - 1)
+        starts += [i[end <= n], start[start >= 0]]
+        ends += [end[end <= n], j[start >= 0]]
+    for k in range(1, min(rule.span, n + 1)):
+        long = np.flatnonzero(before[k:] - before[:-k] >= rule.long_words)
+        starts.append(long)
+        ends.append(long + k)
+    if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(first), np.concatenate(size), np.concatenate(keys)
+    runs = np.unique(np.concatenate(starts) * (n + 1) + np.concatenate(ends))
+    start, end = runs // (n + 1), runs % (n + 1)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)))
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _UNBASE)))
+    summed = np.append(np.uint64(0), np.cumsum(h * powers[:n]))
+    keys = mix((summed[end] - summed[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return full[start], full[end - 1] - full[start] + 1, keys
 
 
 def kept_sentences(parts: list[str], known: np.ndarray, rule: Spans) -> np.ndarray:
