@@ -14,7 +14,8 @@ and the occurrence that comes first in (doc_id, line) order stays.
 
 No sort, window or join meets a hot line in one task: the sort sees each
 distinct pair once with its count, the window is by document, and the joins
-are plain equi-joins that Spark can split.
+are plain equi-joins of stored tables, which Spark can split.  They are merge
+joins at every size, so that a small run shows what a large one costs.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def ranked(pairs: DataFrame) -> DataFrame:
     repeated = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     order = repeated.where("n > 1").select("x", "y").repartitionByRange("x", "y").sortWithinPartitions("x", "y")
     ranks = materialize(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    return materialize(pairs.join(ranks, ["x", "y"]).select(*PLACE, "rank"), "suffixes")
+    return materialize(pairs.join(ranks.hint("merge"), ["x", "y"]).select(*PLACE, "rank"), "suffixes")
 
 
 def shifted(by_rank: DataFrame, lines: int) -> DataFrame:
@@ -78,8 +79,8 @@ def repeated_runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFr
     n, table = below[-1]
     exact = table if n == min_lines else ranked(shifted(table, min_lines - n))
     place = F.struct(*PLACE)
-    first = exact.groupBy("rank").agg(F.min(place).alias("first"))
-    return exact.join(first, "rank").where(place > F.col("first")).select(*PLACE)
+    first = materialize(exact.groupBy("rank").agg(F.min(place).alias("first")), "first")
+    return exact.join(first.hint("merge"), "rank").where(place > F.col("first")).select(*PLACE)
 
 
 def suffix_intervals(docs: DataFrame) -> DataFrame:
@@ -136,5 +137,5 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, carry: list[str] | N
         marked = named.withColumn("starts", F.lit(None).cast("array<int>"))
     else:
         starts = runs.groupBy("doc_id", "version").agg(F.collect_set("line").alias("starts"))
-        marked = named.join(materialize(starts, "starts"), ["doc_id", "version"], "left")
+        marked = named.join(materialize(starts, "starts").hint("merge"), ["doc_id", "version"], "left")
     return unpacked(without_lines(marked, min_lines), carry or [])
