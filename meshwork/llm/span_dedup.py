@@ -131,7 +131,7 @@ def span_dedup(docs: DataFrame, rule: Spans = Spans(), carry: list[str] | None =
 
     spans = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "doc_id long, span long")
     first = spans.groupBy("span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("span", "first")
-    later = spans.join(first, "span").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("span").alias("known"))
+    later = spans.join(materialize(first, "repeated").hint("merge"), "span").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("span").alias("known"))
     known = materialize(later, "spans")
 
     def remove(batches):
@@ -147,5 +147,5 @@ def span_dedup(docs: DataFrame, rule: Spans = Spans(), carry: list[str] | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), batch.column(3)], ["doc_id", "text", "n_sentences", "n_removed", "more"])
 
     kind = docs.schema["more"].dataType.simpleString()
-    cleaned = docs.join(known, "doc_id", "left").select("doc_id", "text", "known", "more").mapInArrow(remove, f"doc_id long, text string, n_sentences long, n_removed long, more {kind}")
+    cleaned = docs.join(known.hint("merge"), "doc_id", "left").select("doc_id", "text", "known", "more").mapInArrow(remove, f"doc_id long, text string, n_sentences long, n_removed long, more {kind}")
     return unpacked(cleaned, carry or [])
