@@ -45,7 +45,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates: five words, similarity 0.8 or more."""
     dropped = near_groups(docs, Near(words=5, percent=80)).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialize(dropped, "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(materialize(dropped, "dropped").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def span_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
