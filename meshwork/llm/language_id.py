@@ -26,6 +26,8 @@ SLOTS = 1 << SLOT_BITS
 #: Characters of a text that are looked at together.
 BLOCK = 1 << 18
 UNKNOWN = "und"
+#: Values of the hash that draws the sample, and languages that it holds at most.
+HASHES, MAX_LANGUAGES = 1 << 31, 1000
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -107,10 +109,17 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(labelled: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, slots, counts) of at most ``rows`` documents: the first by hash of each language in turn."""
-    spread = F.xxhash64("doc_id", F.lit("sample"))
+    """(language, slots, counts) of at most ``rows`` documents: the first by hash of each language in turn.
+
+    Of a language with many documents only the hashes below a bound that its
+    count gives are ranked, so that no task meets a whole language.
+    """
+    spread = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(HASHES))
+    hashed = labelled.select("doc_id", "lang", spread.alias("spread"))
+    counts = hashed.groupBy("lang").agg((HASHES * 3.0 * rows / F.count(F.lit(1))).alias("below"))
+    near_first = hashed.join(F.broadcast(counts.orderBy("lang").limit(MAX_LANGUAGES)), "lang").where("spread < below").drop("below")
     turn = F.row_number().over(W.partitionBy("lang").orderBy("spread", "doc_id"))
-    chosen = labelled.select("doc_id", "lang", spread.alias("spread")).withColumn("turn", turn).where(F.col("turn") <= rows)
+    chosen = near_first.withColumn("turn", turn).where(F.col("turn") <= rows)
     names = [r["doc_id"] for r in chosen.orderBy("turn", "spread", "doc_id", "lang").limit(rows).select("doc_id").collect()]
     if not names:
         return []

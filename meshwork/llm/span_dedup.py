@@ -12,7 +12,8 @@ doc_id, or before it in its own document.
 
 Only one row for each distinct span of a document leaves its task, so a span
 repeated within a document is no hot key, and the smallest doc_id of a span is
-found by partial aggregation.
+found by partial aggregation.  A document that repeats itself leaves one row
+more, without a span; texts that nothing was found of are not split again.
 """
 
 from __future__ import annotations
@@ -109,9 +110,9 @@ def kept_sentences(parts: list[str], known: np.ndarray, rule: Spans) -> np.ndarr
 
 
 def span_dedup(docs: DataFrame, rule: Spans = Spans(), carry: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, text, n_sentences, n_removed and the ``carry`` columns.
+    """Per row of ``docs``: doc_id, text, n_removed and the ``carry`` columns.
 
-    Null text stays null and has no sentences; empty text stays empty.  Rows
+    Null text stays null and empty text empty.  Rows
     with a null doc_id stay as they are.  Rows that share a doc_id are one
     document: they never take a span from one another.  An empty table gives
     an empty result.
@@ -123,29 +124,36 @@ def span_dedup(docs: DataFrame, rule: Spans = Spans(), carry: list[str] | None =
         for batch in batches:
             names, keys = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.unique(spans_of(sentences(text), rule)[2])
-                names.append(np.full(len(found), name, np.int64))
-                keys.append(found)
+                every = spans_of(sentences(text), rule)[2]
+                found = np.unique(every)
+                repeats = len(found) < len(every)
+                names.append(np.full(len(found) + repeats, name, np.int64))
+                keys.append(pa.array(found.view(np.int64)))
+                keys += [pa.nulls(1, pa.int64())] * repeats
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.concat_arrays(keys)], ["doc_id", "span"])
 
-    spans = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "doc_id long, span long")
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "doc_id long, span long")
+    found = materialize(found, "emitted")
+    spans = found.where("span is not null")
     first = spans.groupBy("span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("span", "first")
-    later = spans.join(materialize(first, "repeated").hint("merge"), "span").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("span").alias("known"))
-    known = materialize(later, "spans")
+    later = spans.join(materialize(first, "repeated").hint("merge"), "span").where("doc_id > first").select("doc_id", "span").unionByName(found.where("span is null"))
+    known = materialize(later.groupBy("doc_id").agg(F.collect_set("span").alias("known")), "known")
 
     def remove(batches):
         for batch in batches:
-            texts, n, gone = [], [], []
+            texts, gone = [], []
             for text, spans_here in zip(batch.column(1).to_pylist(), batch.column(2)):
-                parts = sentences(text) if text else []
-                there = np.zeros(0, np.uint64) if not spans_here.is_valid else np.asarray(spans_here.values).view(np.uint64)
-                stay = kept_sentences(parts, there, rule) if parts and batch.column(0)[len(texts)].is_valid else np.ones(len(parts), bool)
-                texts.append(text if stay.all() else "".join(p for p, s in zip(parts, stay) if s))
-                n.append(len(parts))
+                if not text or not spans_here.is_valid:
+                    texts.append(text)
+                    gone.append(0)
+                    continue
+                parts = sentences(text)
+                stay = kept_sentences(parts, np.asarray(spans_here.values).view(np.uint64), rule)
+                texts.append("".join(p for p, s in zip(parts, stay) if s))
                 gone.append(int((~stay).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), batch.column(3)], ["doc_id", "text", "n_sentences", "n_removed", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), batch.column(3)], ["doc_id", "text", "n_removed", "more"])
 
     kind = docs.schema["more"].dataType.simpleString()
-    cleaned = docs.join(known.hint("merge"), "doc_id", "left").select("doc_id", "text", "known", "more").mapInArrow(remove, f"doc_id long, text string, n_sentences long, n_removed long, more {kind}")
+    cleaned = docs.join(known.hint("merge"), "doc_id", "left").select("doc_id", "text", "known", "more").mapInArrow(remove, f"doc_id long, text string, n_removed long, more {kind}")
     return unpacked(cleaned, carry or [])
