@@ -41,7 +41,7 @@ def attack_flag(label: Column, normal: str = "normal") -> Column:
 
 def numeric_flag(c: Column) -> Column:
     """A 0/1 label from text; what is no number gives 0."""
-    return F.coalesce(as_number(c).cast("int"), F.lit(0))
+    return F.coalesce(as_number(c).try_cast("int"), F.lit(0))
 
 
 def r6(c: Column) -> Column:

@@ -72,7 +72,7 @@ def ranking_scores(df: DataFrame, y: str, score: str) -> DataFrame:
     t = rank_table(df, y, score)
     p, n = F.max("positives"), F.max("negatives")
     roc = F.sum(F.col("p") * (F.col("negatives") - F.col("fp")) + F.col("p") * F.col("n") / 2)
-    pr = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    pr = F.sum(F.try_divide(F.col("p") * F.col("tp"), F.col("tp") + F.col("fp")))
     both = (p > 0) & (n > 0)
     return t.agg(F.round(F.when(both, roc / F.when(both, p * n)), 6).alias("auc_roc"), F.round(F.when(both, pr / F.when(both, p)), 6).alias("auc_pr"))
 

@@ -20,14 +20,14 @@ def flag_columns(df: DataFrame, hints: tuple[str, ...] = FLAG_HINTS) -> list[str
     seen = [c for c in hints if c in df.columns]
     if not seen:
         return []
-    whole = lambda c: as_number(F.col(c).cast("string")).cast("long")
+    whole = lambda c: as_number(F.col(c).cast("string")).try_cast("long")
     row = df.agg(*(F.coalesce(F.bool_and(whole(c).isin(0, 1)), F.lit(False)).alias(c) for c in seen)).first()
     return [c for c in seen if row[c]]
 
 
 def with_flags(df: DataFrame, hints: tuple[str, ...] = FLAG_HINTS) -> DataFrame:
     """Flag columns as 0/1 integers, nulls as 0; other columns untouched."""
-    return df.withColumns({c: F.coalesce(as_number(F.col(c).cast("string")).cast("long").cast("int"), F.lit(0)) for c in flag_columns(df, hints)})
+    return df.withColumns({c: F.coalesce(as_number(F.col(c).cast("string")).try_cast("long").cast("int"), F.lit(0)) for c in flag_columns(df, hints)})
 
 
 def empty_columns(df: DataFrame) -> list[str]:

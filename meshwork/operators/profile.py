@@ -31,12 +31,12 @@ def _long(df: DataFrame, aggregates: dict[str, list[Column]], names: list[str])
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n_rows, n_missing, pct_missing; one scan for all columns."""
     rows = F.count(F.lit(1))
-    return _long(df, {c: [rows, F.count_if(F.col(c).isNull()), F.round(F.coalesce(100.0 * F.count_if(F.col(c).isNull()) / rows, F.lit(0.0)), 6)] for c in columns}, ["n_rows", "n_missing", "pct_missing"])
+    return _long(df, {c: [rows, F.count_if(F.col(c).isNull()), F.round(F.coalesce(F.try_divide(100.0 * F.count_if(F.col(c).isNull()), rows), F.lit(0.0)), 6)] for c in columns}, ["n_rows", "n_missing", "pct_missing"])
 
 
 def numeric_coercion(df: DataFrame, columns: list[str], share: float = NUMERIC_SHARE) -> DataFrame:
     """column_name, ratio of non-null values that are numbers, is_numeric."""
-    ratio = lambda c: F.count(as_number(F.col(c).cast("string"))) / F.count(c)
+    ratio = lambda c: F.try_divide(F.count(as_number(F.col(c).cast("string"))), F.count(c))
     table = _long(df, {c: [F.round(F.coalesce(ratio(c), F.lit(0.0)), 6)] for c in columns}, ["ratio"])
     return table.withColumn("is_numeric", F.col("ratio") >= share)
 
@@ -65,13 +65,14 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def parsed_time(c: Column) -> Column:
-    """A timestamp from text or from seconds since 1970; null where it is neither."""
-    return F.coalesce(F.try_to_timestamp(c.cast("string")), F.timestamp_seconds(as_number(c.cast("string"))))
+    """A timestamp from text or from seconds since 1970, up to the year 5138; null where it is neither."""
+    seconds = as_number(c.cast("string"))
+    return F.coalesce(F.try_to_timestamp(c.cast("string")), F.when(F.abs(seconds) < 1e11, F.timestamp_seconds(seconds)))
 
 
 def timestamp_detect(df: DataFrame, candidates: list[str], least: float = 0.0) -> DataFrame:
     """column_name, success_pct, chosen: the first candidate of the highest share, also at 0 %."""
-    rate = lambda c: F.round(F.coalesce(100.0 * F.count(parsed_time(F.col(c))) / F.count(F.lit(1)), F.lit(0.0)), 6)
+    rate = lambda c: F.round(F.coalesce(F.try_divide(100.0 * F.count(parsed_time(F.col(c))), F.count(F.lit(1))), F.lit(0.0)), 6)
     table = _long(df, {c: [F.max(F.lit(k)), rate(c)] for k, c in enumerate(candidates)}, ["turn", "success_pct"])
     best = F.row_number().over(W.partitionBy().orderBy(F.desc("success_pct"), "turn"))
     return table.select("column_name", "success_pct", ((best == 1) & (F.col("success_pct") >= least)).alias("chosen"))
