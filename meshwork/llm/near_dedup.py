@@ -50,7 +50,7 @@ class Near:
     percent: int = 80
     bands: int = 36
     rows: int = 5
-    stars: int = 2
+    stars: int = 1
 
 
 #: As the query asks: three words, 85 in 100.
