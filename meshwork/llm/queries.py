@@ -50,5 +50,31 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+LINE_DEDUP_SQL = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS body FROM parts),
+runs AS (SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY line) AS next FROM lines),
+copies AS (SELECT doc_id, line, row_number() OVER (PARTITION BY body, next ORDER BY doc_id, line) AS copy FROM runs WHERE next IS NOT NULL),
+gone AS (SELECT doc_id, line FROM copies WHERE copy > 1 UNION SELECT doc_id, line + 1 FROM copies WHERE copy > 1),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, string_agg(CASE WHEN g.line IS NULL THEN l.body END, chr(10) ORDER BY l.line) AS body
+         FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.body, '') END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN groups g ON g.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}

@@ -24,7 +24,7 @@ from meshwork.llm.components import connected_components
 from meshwork.llm.exact_dedup import exact_dedup
 from meshwork.llm.language_id import Learning, fit, gram_counts, held_out, language_id
 from meshwork.llm.media import from_wav, media_columns, padded, to_wav
-from meshwork.llm.queries import EXACT_DEDUP_SQL, queries
+from meshwork.llm.queries import oracle_sql, queries
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,8 +80,9 @@ def test_exact_dedup(spark, odd, runs, fan_in):
     assert got == wanted
 
 
-def test_exact_dedup_by_sql(spark, sf_dir):
-    assert harness.rows_of_spark(queries()["op10_exact_dedup"](spark, sf_dir)) == harness.rows_of_sql(harness.tables(sf_dir), EXACT_DEDUP_SQL)
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_by_sql(spark, sf_dir, name):
+    assert harness.rows_of_spark(queries()[name](spark, sf_dir)) == harness.rows_of_sql(harness.tables(sf_dir), oracle_sql()[name])
 
 
 # Near dedup
