@@ -1,14 +1,24 @@
-"""Connected components by alternating large and small stars, with written rounds."""
+"""Connected components by alternating large and small stars.
+
+Each round hangs every node's larger neighbours, then its smaller ones, on the
+smallest of them.  Edges never multiply, and the table ends as stars around
+each component's smallest node.  Every round is a stored table; the least
+neighbours are stored before they are joined to the edges, so that Spark can
+split the edges of a node that has a large part of them.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+Store = Callable[[DataFrame, str], DataFrame]
+
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the session's checkpoint folder and read back."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,29 +26,43 @@ def _stored(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/stars-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b), b < a, hung on the least neighbour."""
-    seen = edges.select("a", "b")
-    seen = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else seen
-    roots = seen.groupBy("a").agg(F.min("b").alias("root")).select("a", F.least("a", "root").alias("root"))
-    joined = seen.join(roots, "a")
-    moved = joined.where("b > a") if large else joined
-    out = moved.select(F.col("b").alias("a"), F.col("root").alias("b"))
-    out = out if large else out.unionByName(roots.select("a", F.col("root").alias("b")))
-    return out.where("a <> b").distinct()
+def _hang(edges: DataFrame, larger: bool, store: Store) -> DataFrame:
+    """One star operation on edges (a, b) with b < a."""
+    down = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
+    table = down.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))) if larger else down
+    least = store(table.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("least")), "least")
+    met = table.join(least.hint("merge"), "node")
+    if larger:
+        hung = met.where("near > node").select(F.col("near").alias("a"), F.col("least").alias("b"))
+    else:
+        hung = met.select(F.col("near").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    return hung.where("a <> b").distinct()
+
+
+def _mark(edges: DataFrame) -> Row:
+    """Tells an edge table from another: its count and two sums over the edges."""
+    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+
+
+def stars(edges: DataFrame, a: str, b: str, store: Store = stored) -> DataFrame:
+    """(a, b): every node that an edge touches, but for the smallest of its component, and that one.
+
+    Self-loops and nulls are no edges; repeated and reversed edges are one.
+    """
+    found = store(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "stars")
+    seen, now = None, _mark(found)
+    while now != seen and now[0]:
+        found = store(_hang(_hang(found, True, store), False, store), "stars")
+        seen, now = now, _mark(found)
+    return found
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node; component: the smallest id that edges reach, in either direction."""
-    state = _stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
-    mark = lambda t: t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-    before, now = None, mark(state)
-    while before != now and now[0]:
-        state = _stored(_star(_star(state, True), False))
-        before, now = now, mark(state)
-    return nodes.select("id").join(state.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+    found = stars(edges, "src", "dst").select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
