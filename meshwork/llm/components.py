@@ -1,46 +1,19 @@
-"""Connected components of an edge table by alternating large and small stars.
-
-Each round hangs every node's larger neighbours, then its smaller ones, on the
-smallest of them.  Edges never multiply, and the table ends as stars around
-each component's smallest node.
-"""
+"""Connected components of an edge table, its rounds written as this subpackage writes tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import stars
 from .runtime import materialize
 
 
-def _hang(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star operation on (a, b) with b < a."""
-    down = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
-    table = down.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))) if larger else down
-    least = table.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("least"))
-    met = table.join(least, "node")
-    if larger:
-        hung = met.where("near > node").select(F.col("near").alias("a"), F.col("least").alias("b"))
-    else:
-        hung = met.select(F.col("near").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    return hung.where("a <> b").distinct()
-
-
-def _mark(edges: DataFrame) -> Row:
-    """Tells an edge table from another: its count and two sums over the edges."""
-    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that an edge touches; component: the smallest node.
 
     Self-loops and nulls are no edges; repeated and reversed edges are one.
     """
-    stars = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    stars = materialize(stars, "stars")
-    seen, now = None, _mark(stars)
-    while now != seen and now[0]:
-        stars = materialize(_hang(_hang(stars, larger=True), larger=False), "stars")
-        seen, now = now, _mark(stars)
-    centres = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
+    found = stars(edges, a, b, materialize)
+    centres = found.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
