@@ -41,7 +41,7 @@ def _hang(edges: DataFrame, larger: bool, store: Store) -> DataFrame:
         hung = met.where("near > node").select(F.col("near").alias("a"), F.col("least").alias("b"))
     else:
         hung = met.select(F.col("near").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    return hung.where("a <> b").distinct()
+    return hung.where("a <> b")
 
 
 def _mark(edges: DataFrame) -> Row:
@@ -57,7 +57,7 @@ def stars(edges: DataFrame, a: str, b: str, store: Store = stored) -> DataFrame:
     found = store(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "stars")
     seen, now = None, _mark(found)
     while now != seen and now[0]:
-        found = store(_hang(_hang(found, True, store), False, store), "stars")
+        found = store(_hang(_hang(found, True, store), False, store).distinct(), "stars")
         seen, now = now, _mark(found)
     return found
 
