@@ -217,11 +217,13 @@ def exact_rest(live: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return rows.groupBy("bucket", "block", "turn").applyInArrow(links, "a long, b long")
 
 
-def _regrouped(live: DataFrame, links: DataFrame) -> DataFrame:
-    """``live`` with components joined by links between its nodes."""
-    known = live.select("node", "component").distinct()
-    ends = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-    found = connected_components(ends.select("x", "y"), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("joined"))
+def _regrouped(live: DataFrame, links: DataFrame, first: bool) -> DataFrame:
+    """``live`` with components joined by links between its nodes; in the first round nodes are components."""
+    if not first:
+        known = live.select("node", "component").distinct()
+        links = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return live.join(found, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
 
 
@@ -246,11 +248,11 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     if not is_empty(live):
         wanted = live.select(F.col("node").alias("doc_id")).distinct()
         sets = materialize(shingle_sets(docs, wanted, near), "sets")
-        for _ in range(near.stars):
+        for turn in range(near.stars):
             edges, centres = star_edges(live, near)
             found = materialize(verified(edges, sets, near), "links")
             links.append(found)
-            live = materialize(_regrouped(live, found).join(centres, ["bucket", "node"], "left_anti"), "buckets")
+            live = materialize(_regrouped(live, found, turn == 0).join(centres, ["bucket", "node"], "left_anti"), "buckets")
         links.append(exact_rest(live, sets, near))
     every = links[0]
     for more in links[1:]:
