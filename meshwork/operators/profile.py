@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import as_number, r6
+from ..functions.cleaning import as_number
 from .ranking import drawn
 
 NULL_VALUE = "<NA>"
