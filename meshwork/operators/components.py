@@ -2,9 +2,7 @@
 
 Each round hangs every node's larger neighbours, then its smaller ones, on the
 smallest of them.  Edges never multiply, and the table ends as stars around
-each component's smallest node.  Every round is a stored table; the least
-neighbours are stored before they are joined to the edges, so that Spark can
-split the edges of a node that has a large part of them.
+each component's smallest node.  Every round is a stored table.
 """
 
 from __future__ import annotations
@@ -31,12 +29,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _hang(edges: DataFrame, larger: bool, store: Store) -> DataFrame:
+def _hang(edges: DataFrame, larger: bool) -> DataFrame:
     """One star operation on edges (a, b) with b < a."""
     down = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
     table = down.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))) if larger else down
-    least = store(table.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("least")), "least")
-    met = table.join(least.hint("merge"), "node")
+    least = table.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("least"))
+    met = table.join(least, "node")
     if larger:
         hung = met.where("near > node").select(F.col("near").alias("a"), F.col("least").alias("b"))
     else:
@@ -57,7 +55,7 @@ def stars(edges: DataFrame, a: str, b: str, store: Store = stored) -> DataFrame:
     found = store(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "stars")
     seen, now = None, _mark(found)
     while now != seen and now[0]:
-        found = store(_hang(_hang(found, True, store), False, store).distinct(), "stars")
+        found = store(_hang(_hang(found, True), False).distinct(), "stars")
         seen, now = now, _mark(found)
     return found
 
