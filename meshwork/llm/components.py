@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
-from .runtime import materialize
+from .runtime import compacted
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,6 +14,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Self-loops and nulls are no edges; repeated and reversed edges are one.
     """
-    found = stars(edges, a, b, materialize)
+    found = stars(edges, a, b, compacted)
     centres = found.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)

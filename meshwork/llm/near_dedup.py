@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import documents, is_empty, materialize, prepare
+from .runtime import compacted, documents, is_empty, materialize, prepare
 from .shingles import mix, shingle_set
 
 #: Shingle hashes in one block of the exact rest, about.
@@ -151,7 +151,7 @@ def live_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, n, places) of buckets with several nodes; places: how many such places the node shares."""
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = members.join(materialize(sizes, "sizes").hint("merge"), "bucket")
+    shared = members.join(compacted(sizes, "sizes").hint("merge"), "bucket")
     places = shared.groupBy("node").agg(F.sum("members").alias("places"))
     return shared.select("bucket", "node", "n").join(places, "node")
 
@@ -159,7 +159,7 @@ def live_buckets(nodes: DataFrame) -> DataFrame:
 def star_edges(live: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     """(edges, centres): the node of most places in each bucket, joined to those that can be similar to it by size."""
     centres = live.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "component"), F.struct("places", F.xxhash64("bucket", "node"), "node")).alias("c"))
-    centres = materialize(centres.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.component").alias("of_a")), "centres")
+    centres = compacted(centres.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.component").alias("of_a")), "centres")
     rays = live.join(centres, "bucket").where("component <> of_a")
     rays = rays.where(100 * F.least("n", "n_a") >= near.percent * F.greatest("n", "n_a"))
     return rays.select("a", F.col("node").alias("b")).distinct(), centres.select("bucket", F.col("a").alias("node"))
@@ -171,13 +171,13 @@ def exact_rest(live: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     mixed = by_component.groupBy("bucket").agg(
         F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("components"), F.sum("w").alias("weight"), F.max("w").alias("most")
     )
-    mixed = materialize(mixed.where("components > 1").select("bucket", "main", F.ceil(F.col("weight") / BLOCK_SHINGLES).alias("blocks")), "mixed")
+    mixed = compacted(mixed.where("components > 1").select("bucket", "main", F.ceil(F.col("weight") / BLOCK_SHINGLES).alias("blocks")), "mixed")
     members = live.select("bucket", "node", "component").join(mixed, "bucket")
-    members = materialize(members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "blocks")), "members")
+    members = compacted(members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "blocks")), "members")
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     base = members.select("bucket", "node", "component", F.col("own").alias("block"), F.explode(every).alias("turn"), F.lit(False).alias("asks"))
     asking = members.where("component <> main").select("bucket", "node", "component", F.explode(every).alias("block"), F.col("own").alias("turn"), F.lit(True).alias("asks"))
-    turns = materialize(asking.select("bucket", "turn").distinct(), "turns")
+    turns = compacted(asking.select("bucket", "turn").distinct(), "turns")
     rows = base.join(turns, ["bucket", "turn"], "left_semi").unionByName(asking.select(*base.columns)).join(sets, "node")
     percent = near.percent
 
@@ -239,10 +239,10 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     docs = documents(docs)
     signed = materialize(signatures(docs, near), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    equal = materialize(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "equal")
+    equal = compacted(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "equal")
     first = equal.select("set_hash", F.col("node").alias("doc_id"))
     nodes = usable.join(first, ["set_hash", "doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands")
-    live = materialize(live_buckets(nodes).withColumn("component", F.col("node")), "buckets")
+    live = compacted(live_buckets(nodes).withColumn("component", F.col("node")), "buckets")
     alike = usable.join(equal, "set_hash").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = [alike]
     if not is_empty(live):
@@ -252,7 +252,7 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
             edges, centres = star_edges(live, near)
             found = materialize(verified(edges, sets, near), "links")
             links.append(found)
-            live = materialize(_regrouped(live, found, turn == 0).join(centres, ["bucket", "node"], "left_anti"), "buckets")
+            live = compacted(_regrouped(live, found, turn == 0).join(centres, ["bucket", "node"], "left_anti"), "buckets")
         links.append(exact_rest(live, sets, near))
     every = links[0]
     for more in links[1:]:
