@@ -43,9 +43,9 @@ _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 class Spans:
     """span and least_words: sentences and words of a run at least; from long_words on fewer sentences do."""
 
-    span: int = 3
+    span: int = 2
     least_words: int = 12
-    long_words: int = 30
+    long_words: int = 12
 
 
 def sentences(text: str) -> list[str]:

@@ -194,6 +194,16 @@ def test_span_dedup(spark, odd):
     assert clean[1] is None and clean[2] == "" and clean[6] == "123 !!" and len(clean[8]) < 100
 
 
+def test_repeats_of_one_and_two_sentences_go(spark):
+    """A long sentence and a short one between edits; one sentence of 16 words; 8 words that may stay."""
+    sentence = lambda seed, n: f"{prose(seed, n).capitalize()}."
+    two, one, short = f"{sentence(31, 8)} {sentence(32, 9)}", sentence(33, 16), sentence(34, 8)
+    texts = [(1, f"{sentence(35, 20)} {two} {sentence(36, 20)} {one} {sentence(37, 9)} {short}")]
+    texts += [(2, f"{sentence(38, 20)} {two} {sentence(39, 20)}"), (3, f"{sentence(40, 20)} {one} {sentence(41, 9)}"), (4, f"{sentence(42, 20)} {short} {sentence(43, 20)}")]
+    got = {r.doc_id: r.text for r in span_dedup.span_dedup(table(spark, texts)).collect()}
+    assert got == {1: texts[0][1], 2: f"{sentence(38, 20)} {sentence(39, 20)}", 3: f"{sentence(40, 20)} {sentence(41, 9)}", 4: texts[3][1]}
+
+
 # Language
 
 
