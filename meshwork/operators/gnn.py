@@ -8,6 +8,7 @@ tasks: ``train_runs`` deals (graph, seed) pairs out.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,26 @@ def best_mcc(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     return float(t[np.argmax(score)]), float(score.max())
 
 
+def ranking_areas(y: np.ndarray, p: np.ndarray) -> tuple[float | None, float | None]:
+    """(auc_roc, auc_pr), as ``evaluate.ranking_scores`` has them: ties count half; step-wise; null with one class only."""
+    positives, negatives = int((y == 1).sum()), int((y == 0).sum())
+    if not positives or not negatives:
+        return None, None
+    at = np.unique(-p, return_inverse=True)[1]
+    pos, neg = np.bincount(at, y == 1), np.bincount(at, y == 0)
+    tp, fp = np.cumsum(pos), np.cumsum(neg)
+    return float((pos * (negatives - fp) + pos * neg / 2).sum() / (positives * negatives)), float((pos * tp / (tp + fp)).sum() / positives)
+
+
+def metric_record(y: np.ndarray, p: np.ndarray, threshold: float) -> dict:
+    """MCC, rates, confusion and areas at score >= threshold; nulls in place of them on no rows, but for the counts."""
+    flagged, truth, n = p >= threshold, y == 1, len(y)
+    tp, tn, fp, fn = (int((a & b).sum()) for a, b in ((flagged, truth), (~flagged, ~truth), (flagged, ~truth), (~flagged, truth)))
+    below = (float(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ** 0.5
+    roc, pr = ranking_areas(y, p)
+    return {"mcc": None if not n else (tp * tn - fp * fn) / below if below else 0.0, "pred_pos_rate": (tp + fp) / n if n else None, "y_pos_rate": (tp + fn) / n if n else None, "tp": tp, "tn": tn, "fp": fp, "fn": fn, "auc_roc": roc, "auc_pr": pr}
+
+
 def _sum_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, rows.shape[1]))
     np.add.at(out, index, rows)
@@ -167,7 +188,12 @@ def weighted_loss(logits, y, rows, pos_weight):
 
 
 def train_one(x, y, split, src, dst, how: Training, seed: int) -> dict:
-    """Adam on the train rows; the weights of the best validation MCC stay."""
+    """Adam on the train rows; the weights of the best validation MCC stay.
+
+    Seconds an epoch are those of the gradient steps; the total also has
+    validation and the evaluation at the end.
+    """
+    begun, steps = perf_counter(), []
     draws = np.random.default_rng(seed)
     net = MODELS[how.model](len(y), src, dst, x.shape[1], how.hidden, draws)
     rows = {s: np.flatnonzero(split == s) for s in ("train", "val", "test")}
@@ -178,6 +204,7 @@ def train_one(x, y, split, src, dst, how: Training, seed: int) -> dict:
     best, waited, stored, ran = (0.5, -1.0), 0, [p.copy() for p in net.params], 0
     positive = lambda: 1 / (1 + np.exp(-np.clip((lambda z: z[:, 1] - z[:, 0])(net.forward(x, 1.0)), -500, 500)))
     for t in range(1, how.epochs + 1):
+        step = perf_counter()
         mask = (draws.random((len(y), how.hidden)) >= how.dropout) / (1 - how.dropout)
         _, g = weighted_loss(net.forward(x, mask), y, rows["train"], pos_weight)
         for k, grad in enumerate(net.backward(g)):
@@ -186,6 +213,7 @@ def train_one(x, y, split, src, dst, how: Training, seed: int) -> dict:
             v[k] = 0.999 * v[k] + 0.001 * grad * grad
             net.params[k] = net.params[k] - how.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         ran = t
+        steps.append(perf_counter() - step)
         if len(rows["val"]):
             found = best_mcc(y[rows["val"]], positive()[rows["val"]])
             if found[1] > best[1]:
@@ -199,15 +227,20 @@ def train_one(x, y, split, src, dst, how: Training, seed: int) -> dict:
     net.params = stored
     p = positive()
     out = {"epochs_ran": ran, "threshold": best[0], "mcc_val": best[1], "pos_weight": pos_weight}
-    test = rows["test"]
-    flagged, truth = p[test] >= best[0], y[test] == 1
-    tp, fp, fn, tn = (float((a & b).sum()) for a, b in ((flagged, truth), (flagged, ~truth), (~flagged, truth), (~flagged, ~truth)))
-    below = ((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ** 0.5
-    out["mcc_test"] = None if not len(test) else (tp * tn - fp * fn) / below if below else 0.0
+    for s in ("val", "test"):
+        record = metric_record(y[rows[s]], p[rows[s]], best[0])
+        out |= {f"{name}_{s}": value for name, value in record.items() if (name, s) != ("mcc", "val")}
+    out["training_time_per_epoch_seconds"] = float(np.mean(steps)) if steps else 0.0
+    out["total_training_time_seconds"] = perf_counter() - begun
     return out
 
 
-RESULT = "graph_id string, model string, seed long, num_nodes long, num_edges long, epochs_ran long, threshold double, mcc_val double, mcc_test double, pos_weight double, error string"
+#: Fields of a metric record.
+RECORD = {"mcc": "double", "pred_pos_rate": "double", "y_pos_rate": "double", "tp": "long", "tn": "long", "fp": "long", "fn": "long", "auc_roc": "double", "auc_pr": "double"}
+#: Measured times, which differ from run to run.
+TIMES = ["training_time_per_epoch_seconds", "total_training_time_seconds"]
+_RECORDS = ", ".join(f"{name}_{s} {kind}" for s in ("val", "test") for name, kind in RECORD.items() if name != "mcc")
+RESULT = f"graph_id string, model string, seed long, num_nodes long, num_edges long, epochs_ran long, threshold double, mcc_val double, mcc_test double, pos_weight double, error string, {_RECORDS}, {', '.join(f'{t} double' for t in TIMES)}"
 
 
 def train_runs(nodes: DataFrame, edges: DataFrame, seeds: list[int], how: Training = Training(), strict: bool = True) -> DataFrame:

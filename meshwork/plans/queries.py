@@ -515,7 +515,7 @@ def _runs(spark, sf_dir, model):
     nodes = vectors(spark, sf_dir).withColumn("y_bin", (F.col("label") < 5).cast("int"))
     nodes = split.split_threeway(nodes, "id", "y_bin", 0.2, 0.1).withColumn("graph_id", F.lit(graphs.similarity_id(K, "cosine", None, "transductive")))
     edges = near(spark, sf_dir).select(F.lit(graphs.similarity_id(K, "cosine", None, "transductive")).alias("graph_id"), "src", "dst")
-    return gnn.train_runs(nodes, edges, [0, 1, 2], gnn.Training(model=model, epochs=30, rate=0.01, hidden=16))
+    return gnn.train_runs(nodes, edges, [0, 1, 2], gnn.Training(model=model, epochs=30, rate=0.01, hidden=16)).drop(*gnn.TIMES)
 
 
 @query
