@@ -16,6 +16,7 @@ third of all pieces share is no task's burden.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -32,8 +33,6 @@ from .runtime import documents, materialize, prepare
 CAPACITY = 2048
 #: Pieces of one length that one task ranks at most, about.
 GROUP_ROWS = 20_000
-#: Emptiest bin patterns that the local search tries to empty in one pass.
-DONORS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -102,53 +101,114 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> dict[Pattern,
     return {p: m for p, m in done.items() if m > 0}
 
 
-def _best_exchange(a: Pattern, b: Pattern, gap: int) -> tuple[int, Counter, Counter] | None:
-    """What of bin a to give to bin b, and what to take back, so that b grows most but by no more than gap."""
-    own, other = [n for n, _ in a], [n for n, _ in b]
-    gives = [Counter({x: 1}) for x in own] + [Counter([x, y]) for i, x in enumerate(own) for y in own[i:] if x != y or dict(a)[x] > 1]
-    takes = [Counter()] + [Counter({y: 1}) for y in other] + [Counter([x, y]) for i, x in enumerate(other) for y in other[i:] if x != y or dict(b)[x] > 1]
-    best = None
-    for give in gives:
-        out = sum(n * k for n, k in give.items())
-        for take in takes:
-            if sum(give.values()) + sum(take.values()) > 3 or sum(give.values()) == 2 and not take:
+def _sums(pattern: Pattern) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(tokens, pieces, lengths) of nothing, of each piece and of each two pieces of a bin."""
+    own = [n for n, _ in pattern]
+    twice = [(x, y) for i, x in enumerate(own) for y in own[i:] if x != y or dict(pattern)[x] > 1]
+    return [(0, 0, ()), *((x, 1, (x,)) for x in own), *((x + y, 2, (x, y)) for x, y in twice)]
+
+
+class _Partners:
+    """Underfull bin patterns with the sums of what they can give, to find the best exchange with one of them."""
+
+    def __init__(self):
+        self.at: dict[Pattern, int] = {}
+        self.names: list[Pattern] = []
+        self.fills = np.zeros(0, np.int64)
+        self.rows = np.zeros((0, 3), np.int64)  # pattern, tokens, pieces
+        self.new: list[tuple[int, int, int]] = []
+
+    def add(self, pattern: Pattern) -> None:
+        if pattern not in self.at:
+            self.at[pattern] = len(self.names)
+            self.names.append(pattern)
+            self.new += [(self.at[pattern], tokens, pieces) for tokens, pieces, _ in _sums(pattern)]
+
+    def remove(self, pattern: Pattern) -> None:
+        self.at.pop(pattern, None)
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.new:
+            self.rows = np.concatenate([self.rows, np.array(self.new, np.int64)])
+            self.fills = np.append(self.fills, [fill(p) for p in self.names[len(self.fills) :]])
+            self.new = []
+        alive = np.zeros(len(self.names), bool)
+        alive[list(self.at.values())] = True
+        if 2 * alive.sum() < len(alive):  # the dead go
+            place = np.cumsum(alive) - 1
+            self.rows = self.rows[alive[self.rows[:, 0]]]
+            self.rows[:, 0] = place[self.rows[:, 0]]
+            self.names = [p for p, stays in zip(self.names, alive) if stays]
+            self.fills, self.at = self.fills[alive], {p: k for k, p in enumerate(self.names)}
+            alive = np.ones(len(self.names), bool)
+        return self.rows, self.fills, alive
+
+    def best(self, pattern: Pattern, capacity: int, alone: bool) -> tuple[Pattern, Pattern, Counter, Counter] | None:
+        """(giver, receiver, given, taken back) of the exchange with most squared fill, or None; alone: not with itself."""
+        rows, fills, alive = self._table()
+        if alone:
+            alive[self.at[pattern]] = False
+        rows = rows[alive[rows[:, 0]]]
+        owner, value, pieces = rows.T
+        theirs, own, best, found = fills[owner], fill(pattern), 0, None
+        for tokens, n, lengths in _sums(pattern):
+            together = (n + pieces <= 3) & (n + pieces > 0)
+            for gain, fits, ahead in (
+                (tokens - value, (n > 0) & ((n < 2) | (pieces > 0)) & (theirs >= own) & (tokens - value <= capacity - theirs), theirs - own),
+                (value - tokens, (pieces > 0) & ((pieces < 2) | (n > 0)) & (theirs <= own) & (value - tokens <= capacity - own), own - theirs),
+            ):
+                raised = np.where(together & fits & (gain > 0), gain * (ahead + gain), 0)
+                k = int(raised.argmax()) if len(raised) else 0
+                if len(raised) and raised[k] > best:
+                    best, gives = raised[k], bool(tokens > value[k])
+                    found = (gives, int(owner[k]), lengths, int(value[k]), int(pieces[k]))
+        if found is None:
+            return None
+        gives, k, lengths, tokens, n = found
+        other = self.names[k]
+        back = next(x for t, m, x in _sums(other) if (t, m) == (tokens, n))
+        return (pattern, other, Counter(lengths), Counter(back)) if gives else (other, pattern, Counter(back), Counter(lengths))
+
+
+def local_search(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
+    """Exchanges that raise the squared fill, until bins are as few as can be or none is left.
+
+    Whether two patterns have an exchange follows from them alone, so a
+    pattern is held against all others once, when it appears; when every
+    pattern has been, none of them has an exchange with any.  The squared fill
+    rises each time, so this ends.
+    """
+    bins = Counter({p: m for p, m in bins.items() if m > 0})
+    least, used = -(-sum(fill(p) * m for p, m in bins.items()) // capacity), sum(bins.values())
+    partners = _Partners()
+    waiting = [(fill(p), p) for p in bins if fill(p) < capacity]
+    heapq.heapify(waiting)
+    while waiting and used > least:
+        _, p = heapq.heappop(waiting)
+        if not bins[p]:
+            continue
+        partners.add(p)
+        found = partners.best(p, capacity, bins[p] < 2)
+        if not found:
+            continue
+        a, b, give, take = found
+        pairs = min(bins[a], bins[b]) if a != b else bins[a] // 2
+        lost, back = Counter({n: -k for n, k in give.items()}), Counter({n: -k for n, k in take.items()})
+        for old, new in ((a, _plus(_plus(a, lost), take)), (b, _plus(_plus(b, back), give))):
+            bins[old] -= pairs
+            if not new:
+                used -= pairs
                 continue
-            gain = out - sum(n * k for n, k in take.items())
-            if 0 < gain <= gap and (best is None or gain > best[0]):
-                best = (gain, give, take)
-    return best
-
-
-def local_search(bins: dict[Pattern, int], capacity: int, rounds: int = 50) -> dict[Pattern, int]:
-    """Exchanges that raise the squared fill, until bins are as few as can be or none helps."""
-    bins = Counter(bins)
-    least = -(-sum(fill(p) * m for p, m in bins.items()) // capacity)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
-        changed = False
-        under = sorted((p for p, m in bins.items() if m and fill(p) < capacity), key=lambda p: (fill(p), p))
-        for a in under[:DONORS]:
-            for b in reversed(under):
-                pairs = min(bins[a], bins[b]) if a != b else bins[a] // 2
-                if not pairs or fill(b) < fill(a):
-                    continue
-                found = _best_exchange(a, b, capacity - fill(b))
-                if not found:
-                    continue
-                _, give, take = found
-                lost, back = Counter({n: -k for n, k in give.items()}), Counter({n: -k for n, k in take.items()})
-                for old, new in ((a, _plus(_plus(a, lost), take)), (b, _plus(_plus(b, back), give))):
-                    bins[old] -= pairs
-                    if new:
-                        bins[new] += pairs
-                changed = True
-                if not bins[a]:
-                    break
-        bins = Counter({p: m for p, m in bins.items() if m > 0})
-        if not changed:
-            break
-    return dict(bins)
+            # a second bin of a pattern may have an exchange with the first
+            if fill(new) < capacity and bins[new] < 2:
+                heapq.heappush(waiting, (fill(new), new))
+            bins[new] += pairs
+        for old in {a, b}:
+            if not bins[old]:
+                partners.remove(old)
+        if bins[p]:
+            heapq.heappush(waiting, (fill(p), p))
+    return {p: m for p, m in bins.items() if m > 0}
 
 
 def layout(bins: dict[Pattern, int]) -> np.ndarray:

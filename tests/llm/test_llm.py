@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import random
 import wave
 import zlib
@@ -371,6 +372,27 @@ def test_local_search_keeps_pieces_and_saves_bins():
     assert sum(packing.best_fit_decreasing(lengths, 12).values()) <= 62
 
 
+def test_local_search_ends_where_no_exchange_is_left():
+    draws = random.Random(1)
+    lengths, capacity = Counter(draws.randint(500, 1000) for _ in range(600)), 2048
+    end = packing.local_search(packing.best_fit_decreasing(lengths, capacity), capacity)
+    pieces = Counter()
+    for p, m in end.items():
+        assert 0 < packing.fill(p) <= capacity
+        for n, k in p:
+            pieces[n] += k * m
+    assert pieces == lengths and sum(end.values()) > -(-sum(n * k for n, k in lengths.items()) // capacity)
+
+    one = {p: {n for n, _ in p} for p in end}
+    two = {p: set(map(sum, itertools.combinations([n for n, k in p for _ in range(k)], 2))) for p in end}
+    for a, b in itertools.product(end, end):
+        gap = capacity - packing.fill(b)
+        if packing.fill(a) > packing.fill(b) or not gap or a == b and end[a] < 2:
+            continue
+        gains = [x - y for x in one[a] for y in {0} | one[b] | two[b]] + [x - y for x in two[a] for y in one[b]]
+        assert not any(0 < g <= gap for g in gains)
+
+
 # Media
 
 
