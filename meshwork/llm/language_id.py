@@ -27,7 +27,7 @@ SLOTS = 1 << SLOT_BITS
 BLOCK = 1 << 18
 UNKNOWN = "und"
 #: Values of the hash that draws the sample, and languages that it holds at most.
-HASHES, MAX_LANGUAGES = 1 << 31, 1000
+HASHES = 1 << 31
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -117,7 +117,7 @@ def sample(labelled: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.nda
     spread = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(HASHES))
     hashed = labelled.select("doc_id", "lang", spread.alias("spread"))
     counts = hashed.groupBy("lang").agg((HASHES * 3.0 * rows / F.count(F.lit(1))).alias("below"))
-    near_first = hashed.join(F.broadcast(counts.orderBy("lang").limit(MAX_LANGUAGES)), "lang").where("spread < below").drop("below")
+    near_first = hashed.join(counts, "lang").where("spread < below").drop("below")
     turn = F.row_number().over(W.partitionBy("lang").orderBy("spread", "doc_id"))
     chosen = near_first.withColumn("turn", turn).where(F.col("turn") <= rows)
     names = [r["doc_id"] for r in chosen.orderBy("turn", "spread", "doc_id", "lang").limit(rows).select("doc_id").collect()]

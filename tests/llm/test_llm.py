@@ -23,7 +23,7 @@ from meshwork.llm.bpe import codec, vocabulary_path
 from meshwork.llm.bpe_codec import ChunkCoder, bpe_round_trip, decode_documents, encode_documents
 from meshwork.llm.components import connected_components
 from meshwork.llm.exact_dedup import exact_dedup
-from meshwork.llm.language_id import Learning, fit, gram_counts, held_out, language_id
+from meshwork.llm.language_id import Learning, fit, gram_counts, held_out, language_id, sample
 from meshwork.llm.media import from_wav, media_columns, padded, to_wav
 from meshwork.llm.queries import oracle_sql, queries
 
@@ -208,6 +208,11 @@ def test_repeats_of_one_and_two_sentences_go(spark):
 # Language
 
 
+def test_every_language_is_sampled(spark):
+    rows = spark.createDataFrame([(i, f"l{i:04}", "some text") for i in range(1010)], "doc_id long, lang string, text string")
+    assert {lang for lang, _, _ in sample(rows, 1500)} == {f"l{i:04}" for i in range(1010)}
+
+
 def test_language_id(spark):
     kinds = {"xx": "aeiou", "yy": "bcdfg"}
     texts = [(i, " ".join("".join(random.Random(i * 50 + k).choices(kinds["xx" if i % 2 else "yy"], k=6)) for k in range(30)), "xx" if i % 2 else "yy") for i in range(160)]
