@@ -8,12 +8,13 @@
     shares most bucket places becomes the centre of a star, and only its edges
     are tested, on the full sets: a bucket of n gives n - 1 edges, not n * n.
 3.  Stars alone would lose a link between two documents that both miss the
-    centre.  So there are ``stars`` rounds with a new centre each, and then an
-    exact rest: where a bucket still holds several components, the documents
-    outside its main component are a query set that is held against all of
-    the bucket, in blocks of bounded size, without making a row for a pair.
-    Every pair that shares a bucket is thereby decided on full sets, unless
-    both are in one component already.
+    centre.  So there are ``stars`` rounds with a new centre each, more of them
+    while the rest is large and they make it smaller, and then an exact rest:
+    where a bucket still holds several components, the documents outside its
+    main component are a query set that is held against all of the bucket, in
+    blocks of bounded size, without making a row for a pair.  Every pair that
+    shares a bucket is thereby decided on full sets, unless both are in one
+    component already.
 
 Documents of similarity s share no bucket with probability
 (1 - s ** rows) ** bands.
@@ -21,6 +22,7 @@ Documents of similarity s share no bucket with probability
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,11 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import compacted, documents, is_empty, materialize, prepare
+from .runtime import compacted, discard, documents, files_for, is_empty, materialize, prepare
 from .shingles import mix, shingle_set
 
 #: Shingle hashes in one block of the exact rest, about.
 BLOCK_SHINGLES = 500_000
+#: Another round of stars comes before the exact rest where the rest would copy more than so many sets a member.
+COPIES = 4
+#: Edges whose sets one centre's set meets in one task, about.
+CENTRE_EDGES = 20_000
 #: Bits of the filter on document ids: 2 MB, broadcast with the function that uses it.
 FILTER_BITS = 1 << 24
 
@@ -140,45 +146,66 @@ def _linked(common, n, m, percent: int):
 
 
 def verified(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """The edges (a, b) whose full sets are similar enough."""
+    """The stored edges (a, b) whose full sets are similar enough.
+
+    A centre's set is copied for every ``CENTRE_EDGES`` of all edges at most,
+    and no more often than it has edges, so no task meets a large star whole.
+    """
+    parts = max(1, math.ceil(edges.count() / CENTRE_EDGES))
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
     one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    sized = edges.join(other, "b").join(one, "a").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    one = dealt.select("a", "part").distinct().join(one, "a") if parts > 1 else one.withColumn("part", F.lit(0).cast("long"))
+    sized = dealt.join(other, "b").join(one, ["a", "part"]).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
     return sized.where(_linked(F.col("common"), F.col("n"), F.col("m"), near.percent)).select("a", "b")
 
 
-def live_buckets(nodes: DataFrame) -> DataFrame:
+def live_buckets(nodes: DataFrame, files: int) -> DataFrame:
     """(bucket, node, n, places) of buckets with several nodes; places: how many such places the node shares."""
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = members.join(compacted(sizes, "sizes").hint("merge"), "bucket")
+    shared = members.join(compacted(sizes, "sizes", files).hint("merge"), "bucket")
     places = shared.groupBy("node").agg(F.sum("members").alias("places"))
     return shared.select("bucket", "node", "n").join(places, "node")
 
 
-def star_edges(live: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
+def star_edges(live: DataFrame, near: Near, files: int) -> tuple[DataFrame, DataFrame]:
     """(edges, centres): the node of most places in each bucket, joined to those that can be similar to it by size."""
     centres = live.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "component"), F.struct("places", F.xxhash64("bucket", "node"), "node")).alias("c"))
-    centres = compacted(centres.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.component").alias("of_a")), "centres")
+    centres = compacted(centres.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.component").alias("of_a")), "centres", files)
     rays = live.join(centres, "bucket").where("component <> of_a")
     rays = rays.where(100 * F.least("n", "n_a") >= near.percent * F.greatest("n", "n_a"))
-    return rays.select("a", F.col("node").alias("b")).distinct(), centres.select("bucket", F.col("a").alias("node"))
+    return compacted(rays.select("a", F.col("node").alias("b")).distinct(), "rays", files), centres.select("bucket", F.col("a").alias("node"))
 
 
-def exact_rest(live: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) in buckets that still hold several components."""
+def mixed_buckets(live: DataFrame, files: int) -> DataFrame:
+    """Buckets that still hold several components: bucket, main, members, asking, blocks, turns.
+
+    main: the component of most members; asking: members outside it; blocks
+    and turns: of all members and of those that ask, by their shingles.
+    """
     by_component = live.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
-    mixed = by_component.groupBy("bucket").agg(
-        F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("components"), F.sum("w").alias("weight"), F.max("w").alias("most")
-    )
-    mixed = compacted(mixed.where("components > 1").select("bucket", "main", F.ceil(F.col("weight") / BLOCK_SHINGLES).alias("blocks")), "mixed")
+    most = F.max(F.struct("k", "component", "w"))
+    mixed = by_component.groupBy("bucket").agg(most.alias("most"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("members"), F.sum("w").alias("weight")).where("components > 1")
+    blocks = lambda weight: F.greatest(F.ceil(weight / BLOCK_SHINGLES), F.lit(1))
+    return compacted(mixed.select("bucket", F.col("most.component").alias("main"), "members", (F.col("members") - F.col("most.k")).alias("asking"), blocks(F.col("weight")).alias("blocks"), blocks(F.col("weight") - F.col("most.w")).alias("turns")), "mixed", files)
+
+
+def copies(mixed: DataFrame) -> tuple[int, int]:
+    """(sets that the exact rest would copy, members of its buckets)."""
+    row = mixed.agg(F.sum(F.col("members") * F.col("turns") + F.col("asking") * F.col("blocks")).alias("c"), F.sum("members").alias("m")).first()
+    return row["c"] or 0, row["m"] or 0
+
+
+def exact_rest(live: DataFrame, mixed: DataFrame, sets: DataFrame, near: Near, files: int) -> DataFrame:
+    """Links (a, b) in buckets that still hold several components."""
     members = live.select("bucket", "node", "component").join(mixed, "bucket")
-    members = compacted(members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "blocks")), "members")
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    base = members.select("bucket", "node", "component", F.col("own").alias("block"), F.explode(every).alias("turn"), F.lit(False).alias("asks"))
-    asking = members.where("component <> main").select("bucket", "node", "component", F.explode(every).alias("block"), F.col("own").alias("turn"), F.lit(True).alias("asks"))
-    turns = compacted(asking.select("bucket", "turn").distinct(), "turns")
-    rows = base.join(turns, ["bucket", "turn"], "left_semi").unionByName(asking.select(*base.columns)).join(sets, "node")
+    dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    members = compacted(members.withColumn("block", dealt(1, F.col("blocks"))).withColumn("turn", dealt(2, F.col("turns"))), "members", files)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    base = members.select("bucket", "node", "component", "block", every("turns").alias("turn"), F.lit(False).alias("asks"))
+    asking = members.where("component <> main").select("bucket", "node", "component", every("blocks").alias("block"), "turn", F.lit(True).alias("asks"))
+    rows = base.unionByName(asking).join(sets, "node")
     percent = near.percent
 
     def links(table: pa.Table) -> pa.Table:
@@ -217,13 +244,13 @@ def exact_rest(live: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return rows.groupBy("bucket", "block", "turn").applyInArrow(links, "a long, b long")
 
 
-def _regrouped(live: DataFrame, links: DataFrame, first: bool) -> DataFrame:
+def _regrouped(live: DataFrame, links: DataFrame, first: bool, files: int) -> DataFrame:
     """``live`` with components joined by links between its nodes; in the first round nodes are components."""
     if not first:
         known = live.select("node", "component").distinct()
         links = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
         links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    found = connected_components(links, files).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return live.join(found, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
 
 
@@ -232,32 +259,44 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     Null, empty and blank texts have empty sets and are linked with nothing.
     ``component_id`` is the smallest doc_id that links reach, the document
-    itself included.  Rows with a null doc_id have a null component_id and are
-    not kept; rows that share a doc_id are one document with the links of all
-    their texts.  An empty table gives an empty result.
+    itself included, so of equal texts the smallest doc_id is kept; ties
+    between centres decide which pairs are tested first, never the result.
+    Rows with a null doc_id have a null component_id and are not kept; rows
+    that share a doc_id are one document with the links of all their texts.
+    An empty table gives an empty result.
     """
     docs = documents(docs)
     signed = materialize(signatures(docs, near), "signatures")
+    files = files_for(signed.count())
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    equal = compacted(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "equal")
+    equal = compacted(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "equal", files)
     first = equal.select("set_hash", F.col("node").alias("doc_id"))
     nodes = usable.join(first, ["set_hash", "doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands")
-    live = compacted(live_buckets(nodes).withColumn("component", F.col("node")), "buckets")
+    live = compacted(live_buckets(nodes, files).withColumn("component", F.col("node")), "buckets", files)
     alike = usable.join(equal, "set_hash").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = [alike]
     if not is_empty(live):
         wanted = live.select(F.col("node").alias("doc_id")).distinct()
         sets = materialize(shingle_sets(docs, wanted, near), "sets")
-        for turn in range(near.stars):
-            edges, centres = star_edges(live, near)
+        turn, mixed, before = 0, None, math.inf
+        while True:
+            if turn >= near.stars:
+                mixed = mixed_buckets(live, files)
+                now, members = copies(mixed)
+                if now <= COPIES * members or now > 0.9 * before:
+                    break
+                before = now
+            edges, centres = star_edges(live, near, files)
             found = materialize(verified(edges, sets, near), "links")
             links.append(found)
-            live = compacted(_regrouped(live, found, turn == 0).join(centres, ["bucket", "node"], "left_anti"), "buckets")
-        links.append(exact_rest(live, sets, near))
+            last, live = live, compacted(_regrouped(live, found, turn == 0, files).join(centres, ["bucket", "node"], "left_anti"), "buckets", files)
+            discard(last)
+            turn += 1
+        links.append(exact_rest(live, mixed, sets, near, files))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    groups = connected_components(every).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    groups = connected_components(every, files).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     return signed.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select(
         "doc_id",
         "n_shingles",

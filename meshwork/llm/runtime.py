@@ -7,28 +7,33 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, release, shared_dir, stored, written
+
+__all__ = ["compacted", "discard", "documents", "files_for", "is_empty", "materialize", "prepare", "release", "shared_dir", "unpacked", "written"]
+
 _PACKAGE = Path(__file__).resolve().parents[1]
-_WRITTEN: dict[str, list[str]] = {}
 
 #: Rows and bytes in one Arrow batch, so that a worker's memory is bounded
 #: also where texts are long.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": f"{16 << 20}"}
+#: Rows of a small table in one file, about; and files at most where there are few rows.
+FILE_ROWS, FEW_FILES = 50_000, 24
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make the package importable on executors and bound the Arrow batches."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Make the package importable on executors and bound the Arrow batches; a setting that the session has stays."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     context = spark.sparkContext
     if getattr(context, "_meshwork_shipped", False):
         return spark
@@ -42,39 +47,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if named is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file:///tmp/checkpoints"
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; no lineage is left.
+    """``df`` written once to the shared folder and read back; no lineage is left."""
+    return stored(df, label)
 
-    A lost executor costs nothing: the files are in shared storage, and what
-    was computed before them is not computed again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meshwork/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def files_for(rows: int) -> int:
+    """In how many files tables derived from so many rows are stored at most: more where there are more rows."""
+    return max(FEW_FILES, math.ceil(rows / FILE_ROWS))
 
 
-def compacted(df: DataFrame, label: str) -> DataFrame:
-    """``materialize`` in no more files than four for each core.
+def compacted(df: DataFrame, label: str, files: int) -> DataFrame:
+    """``materialize`` in no more files than ``files``, which grows with the input.
 
     A task then works through several partitions one after the other, so it
     needs no more memory, and rounds of small tables are not spent on files.
     """
-    return materialize(df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism)), label)
+    return materialize(df.coalesce(files), label)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -82,14 +71,6 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's written tables, once its results are stored."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-
-
 def documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Only the two columns that the operators read, under fixed names.
 
