@@ -32,7 +32,7 @@ def queries() -> dict[str, Query]:
         "op4_token_counts": _over("documents", token_counts),
         "op5_substring_dedup": _over("documents", span_dedup),
         "op6_language_id": _over("documents", language_id),
-        "op7_media_columns": _over("documents", lambda docs: media_columns(docs, with_media=False).drop("media", "times", "codes")),
+        "op7_media_columns": _over("documents", media_columns),
         "op8_best_fit_packing": _over("documents", best_fit_packing),
         "op9_bpe_round_trip": _over("documents", bpe_round_trip),
         "op10_exact_dedup": _over("documents", exact_dedup),
@@ -50,12 +50,15 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
-LINE_DEDUP_SQL = """
+LINE_DEDUP_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS body FROM parts),
-runs AS (SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY line) AS next FROM lines),
-copies AS (SELECT doc_id, line, row_number() OVER (PARTITION BY body, next ORDER BY doc_id, line) AS copy FROM runs WHERE next IS NOT NULL),
-gone AS (SELECT doc_id, line FROM copies WHERE copy > 1 UNION SELECT doc_id, line + 1 FROM copies WHERE copy > 1),
+counted AS (SELECT *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS w FROM lines),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM counted),
+runs AS (SELECT a.doc_id, a.line AS first, z.line AS last FROM summed a JOIN summed z ON a.doc_id = z.doc_id AND a.line <= z.line
+         WHERE z.upto - a.upto + a.w >= 8 AND (z.upto - z.w - a.upto + a.w < 8 OR z.upto - a.upto < 8)),
+copies AS (SELECT r.doc_id, first, last, row_number() OVER (PARTITION BY array_to_string(l[first + 1:last + 1], chr(10)) ORDER BY r.doc_id, first) AS copy FROM runs r JOIN parts p ON p.doc_id = r.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM copies WHERE copy > 1),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, string_agg(CASE WHEN g.line IS NULL THEN l.body END, chr(10) ORDER BY l.line) AS body
          FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.body, '') END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
