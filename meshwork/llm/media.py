@@ -1,8 +1,9 @@
 """Media columns: bytes as WAV, spectra by short-time Fourier transform, and
 spectral-peak pair fingerprints as time-coded arrays.
 
-A payload is stored as unsigned 8-bit mono samples by the wave module and read
-back from the stored bytes.  Each frame's strongest bin in each of three bands
+A payload is stored as unsigned 8-bit mono samples by the wave module, in a
+table in the shared folder, and everything else is computed from the bytes that
+are read back from there.  Each frame's strongest bin in each of three bands
 is a peak where no neighbouring frame is stronger in that band; each peak is
 paired with the next few, and a pair is (time of the first, code of the two
 bins and their distance).
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import documents, prepare
+from .runtime import documents, materialize, prepare
 
 FRAME, HOP, RATE = 256, 128, 8000
 #: Bands of bins, first and last plus one; bin 0 is the mean and is left out.
@@ -30,6 +31,7 @@ FAN, REACH = 3, 63
 #: Frames transformed at once.
 FRAMES_AT_ONCE = 4096
 
+STORED = "doc_id long, n_bytes long, media binary"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, times array<int>, codes array<int>"
 
 
@@ -88,29 +90,40 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order], c[order]
 
 
-def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
+def stored_media(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_bytes of the text, and its payload as a WAV file, written to the shared folder."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            raw = [x or b"" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array((to_wav(padded(x)) for x in raw), pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return materialize(documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, STORED), "media")
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, digests of payload and media, feature, media, times, codes.
 
-    Null text counts as empty: a payload of 64 zero bytes, which has no peak.
-    Null doc_ids and repeated rows are rows like others; an empty table gives
-    an empty result.  Without ``with_media`` the columns media, times and
-    codes are null.  There is no shuffle.
+    ``feature`` is the number of peak pairs and a digest of their times and
+    codes.  Null text counts as empty: a payload of 64 zero bytes, which has no
+    peak.  Null doc_ids and repeated rows are rows like others, and equal texts
+    have equal values; an empty table gives an empty result.  There is no
+    shuffle.
     """
-    spark = prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            rows = [[] for _ in range(10)]
-            for raw in batch.column(1).to_pylist():
-                raw = raw or b""
-                media = to_wav(padded(raw))
+            rows = [[] for _ in range(8)]
+            for media in batch.column(2).to_pylist():
                 payload = from_wav(media)
                 times, codes = fingerprint(np.frombuffer(payload, np.uint8))
                 mark = hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()[:32]
-                values = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(times)}:{mark}", *((media, times, codes) if with_media else (None, None, None))]
+                values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(times)}:{mark}", times, codes]
                 for column, value in zip(rows, values):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds))], [x.split()[0] for x in SCHEMA.split(", ")])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            found = [pa.array(x, k) for x, k in zip(rows, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found[:6], batch.column(2), *found[6:]], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, SCHEMA)
+    return stored_media(docs).mapInArrow(run, SCHEMA)
