@@ -3,12 +3,17 @@
 A text is a chain of sentences, each with the white space after it.  A
 sentence ends after closing punctuation, at a line's end, or before a
 capitalised word that follows another, so that a passage pasted into another
-sentence still begins a sentence of its own.  Every run of ``span``
-consecutive sentences is hashed over its words, and goes on, forwards and
-backwards, until it has ``least_words`` words; a shorter run counts as well
-once it has ``long_words`` words.  Hashes are joined over all documents, and a
-sentence goes that lies in a run of which an earlier copy exists: in a smaller
-doc_id, or before it in its own document.
+sentence still begins a sentence of its own.  From every sentence a span slides
+forwards over the sentences that follow and backwards over those before, until
+it has ``words`` words; the last sentence that it reaches may be cut, and a
+longer sentence is a span by itself.  Spans are hashed to 128 bits over their
+words and joined over all documents, and the whole sentences of a span go when
+an earlier copy of it exists: in a smaller doc_id, or before it in its own
+document.
+
+A passage of n words that repeats loses every whole sentence that has
+``words`` words of the passage from its start on or up to its end; with
+2 * words <= n + 1 that is every sentence.
 
 Only one row for each distinct span of a document leaves its task, so a span
 repeated within a document is no hot key, and the smallest doc_id of a span is
@@ -28,24 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import documents, materialize, prepare, unpacked
-from .shingles import mix
+from .shingles import WORD_HASHES
 
 #: Ends of sentences: after closing punctuation, a line's end, or before a capital.
 SENTENCE_END = re.compile(r"(?<=[.!?…。！？])\s+|\n+|(?<=[^\sA-ZÀ-ÖØ-Þ])\s+(?=[A-ZÀ-ÖØ-Þ])")
 
 
-#: An odd number and its inverse, modulo 2**64: a run's hash is a polynomial in it.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 @dataclass(frozen=True)
 class Spans:
-    """span and least_words: sentences and words of a run at least; from long_words on fewer sentences do."""
+    """words: the words of a span, at least."""
 
-    span: int = 2
-    least_words: int = 12
-    long_words: int = 12
+    words: int = 40
 
 
 def sentences(text: str) -> list[str]:
@@ -55,67 +53,51 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def sentence_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, words) of each sentence, over its words in lower case."""
-    words = [p.lower().split() for p in parts]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), np.uint64, len(words))
-    return h, np.fromiter(map(len, words), np.int64, len(words))
-
-
-def spans_of(parts: list[str], rule: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentences, hash) of the runs that count.
+def spans_of(parts: list[str], rule: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentences, first word, key) of each span; a key is two 64-bit numbers.
 
-    Sentences without words belong to the run but give nothing to its hash, so
-    runs are taken over sentences that have words.
+    The sentences are those that lie wholly in the span.  Sentences without
+    words between them belong to the span but give nothing to its key.
     """
-    h, words = sentence_hashes(parts)
-    full = np.flatnonzero(words)
-    h, words = h[full], words[full]
-    n = len(h)
-    before = np.append(0, np.cumsum(words))
-    starts, ends = [], []
-    if n >= rule.span:
-        i, j = np.arange(n), np.arange(1, n + 1)
-        end = np.maximum(i + rule.span, np.searchsorted(before, before[i] + rule.least_words))
-        start = np.minimum(j - rule.span, np.searchsorted(before, before[j] - rule.least_words, "right") - 1)
-        starts += [i[end <= n], start[start >= 0]]
-        ends += [end[end <= n], j[start >= 0]]
-    for k in range(1, min(rule.span, n + 1)):
-        long = np.flatnonzero(before[k:] - before[:-k] >= rule.long_words)
-        starts.append(long)
-        ends.append(long + k)
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    runs = np.unique(np.concatenate(starts) * (n + 1) + np.concatenate(ends))
-    start, end = runs // (n + 1), runs % (n + 1)
-    powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)))
-    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _UNBASE)))
-    summed = np.append(np.uint64(0), np.cumsum(h * powers[:n]))
-    keys = mix((summed[end] - summed[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return full[start], full[end - 1] - full[start] + 1, keys
-
-
-def kept_sentences(parts: list[str], known: np.ndarray, rule: Spans) -> np.ndarray:
-    """Which sentences stay: those in no run that is known from elsewhere or from before."""
-    first, size, keys = spans_of(parts, rule)
-    again = np.isin(keys, known)
-    order = np.lexsort((first, keys))
-    repeated = np.zeros(len(keys), bool)
-    repeated[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    words = [p.lower().encode().split() for p in parts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    full = np.flatnonzero(n)
+    h = np.fromiter((WORD_HASHES[w] for own in words for w in own), np.uint64, int(n.sum()))
+    ends = np.cumsum(n[full])
+    starts = ends - n[full]
+    to, since = np.maximum(ends, starts + rule.words), np.minimum(starts, ends - rule.words)
+    ahead, back = np.flatnonzero(to <= len(h)), np.flatnonzero(since >= 0)
+    a, b = np.append(starts[ahead], since[back]), np.append(to[ahead], ends[back])
+    first = np.append(ahead, np.searchsorted(starts, since[back]))
+    last = np.append(np.searchsorted(ends, to[ahead], "right") - 1, back)
+    _, own = np.unique(a * (len(h) + 1) + b, return_index=True)
+    a, b, first, last = a[own], b[own], first[own], last[own]
+    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h[i:j].tobytes()) for i, j in zip(a.tolist(), b.tolist())), np.int64).reshape(-1, 2)
+    return full[first], full[last] - full[first] + 1, a, keys
+
+
+def kept_sentences(parts: list[str], known: set[tuple[int, int]], rule: Spans) -> np.ndarray:
+    """Which sentences stay: those in no span that is known from elsewhere or from before."""
+    first, size, _, keys = spans_of(parts, rule)
     covered = np.zeros(len(parts) + 1, np.int64)
-    gone = again | repeated
-    np.add.at(covered, first[gone], 1)
-    np.add.at(covered, first[gone] + size[gone], -1)
+    before = set(known)
+    for i, n, key in zip(first.tolist(), size.tolist(), map(tuple, keys.tolist())):  # in the order of first words
+        if key in before:
+            covered[i] += 1
+            covered[i + n] -= 1
+        else:
+            before.add(key)
     return np.cumsum(covered[:-1]) == 0
 
 
 def span_dedup(docs: DataFrame, rule: Spans = Spans(), carry: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, text, n_removed and the ``carry`` columns.
 
-    Null text stays null and empty text empty.  Rows
-    with a null doc_id stay as they are.  Rows that share a doc_id are one
-    document: they never take a span from one another.  An empty table gives
-    an empty result.
+    n_removed counts sentences.  Null text stays null and empty text empty; a
+    text of fewer words than a span loses nothing.  Rows with a null doc_id
+    stay as they are.  Rows that share a doc_id are one document: they never
+    take a span from one another.  Of equal spans in several documents the
+    smallest doc_id keeps its own.  An empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     docs = documents(docs, carry=carry or [])
@@ -124,32 +106,35 @@ def span_dedup(docs: DataFrame, rule: Spans = Spans(), carry: list[str] | None =
         for batch in batches:
             names, keys = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                every = spans_of(sentences(text), rule)[2]
-                found = np.unique(every)
-                repeats = len(found) < len(every)
-                names.append(np.full(len(found) + repeats, name, np.int64))
-                keys.append(pa.array(found.view(np.int64)))
-                keys += [pa.nulls(1, pa.int64())] * repeats
+                every = spans_of(sentences(text), rule)[3]
+                found = np.unique(every, axis=0)
+                names.append(np.full(len(found), name, np.int64))
+                keys.append(found)
+                if len(found) < len(every):
+                    names.append(np.full(1, name, np.int64))
+                    keys.append(None)
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.concat_arrays(keys)], ["doc_id", "span"])
+                span = lambda k: pa.concat_arrays([pa.nulls(1, pa.int64()) if x is None else pa.array(x[:, k]) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), span(0), span(1)], ["doc_id", "span", "check"])
 
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "doc_id long, span long")
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "doc_id long, span long, check long")
     found = materialize(found, "emitted")
     spans = found.where("span is not null")
-    first = spans.groupBy("span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("span", "first")
-    later = spans.join(materialize(first, "repeated").hint("merge"), "span").where("doc_id > first").select("doc_id", "span").unionByName(found.where("span is null"))
-    known = materialize(later.groupBy("doc_id").agg(F.collect_set("span").alias("known")), "known")
+    first = spans.groupBy("span", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("span", "check", "first")
+    later = spans.join(materialize(first, "repeated").hint("merge"), ["span", "check"]).where("doc_id > first").select("doc_id", "span", "check").unionByName(found.where("span is null"))
+    known = materialize(later.groupBy("doc_id").agg(F.collect_list(F.when(F.col("span").isNotNull(), F.struct("span", "check"))).alias("known")), "known")
 
     def remove(batches):
         for batch in batches:
             texts, gone = [], []
-            for text, spans_here in zip(batch.column(1).to_pylist(), batch.column(2)):
-                if not text or not spans_here.is_valid:
+            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if not text or not marks.is_valid:
                     texts.append(text)
                     gone.append(0)
                     continue
                 parts = sentences(text)
-                stay = kept_sentences(parts, np.asarray(spans_here.values).view(np.uint64), rule)
+                keys = marks.values.flatten()
+                stay = kept_sentences(parts, set(zip(keys[0].to_pylist(), keys[1].to_pylist())), rule)
                 texts.append("".join(p for p, s in zip(parts, stay) if s))
                 gone.append(int((~stay).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), batch.column(3)], ["doc_id", "text", "n_removed", "more"])
