@@ -6,7 +6,7 @@ import argparse
 import inspect
 
 from .plans import jobs
-from .session import local_session
+from .session import job_session
 
 JOBS = {
     "inspect": jobs.inspect,
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 def main() -> None:
     options = vars(parser().parse_args())
     job = options.pop("job")
-    found = JOBS[job](local_session(), **options)
+    found = JOBS[job](job_session(), **options)
     print(found) if not hasattr(found, "show") else found.show(100, truncate=False)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +10,8 @@ from ..functions.cleaning import filled
 
 #: Features that PCA takes: their square matrix is summed on executors and solved on the driver.
 MAX_PCA_FEATURES = 4096
+#: Values of a column that become features of their own; more is an error that names the column.
+MAX_LEVELS = 4096
 
 
 def scope(df: DataFrame, name: str, split: str = "split") -> DataFrame:
@@ -37,12 +37,24 @@ def standardized(df: DataFrame, columns: list[str], fitted: dict[str, tuple[floa
 
 
 def levels(df: DataFrame, columns: list[str], split: str | None = "split") -> dict[str, list[str]]:
-    """Sorted values of each column over the train rows, one of them standing for null."""
+    """Sorted values of each column over the train rows, one of them standing for null.
+
+    The driver gets ``MAX_LEVELS`` values of a column at most: a column with
+    more is an error, and found before any value is collected.
+    """
     train = df.where(F.col(split) == "train") if split else df
     if not columns:
         return {}
-    row = train.agg(*(F.sort_array(F.collect_set(filled(F.col(c)))).alias(f"l{k}") for k, c in enumerate(columns))).first()
-    return {c: list(row[f"l{k}"]) for k, c in enumerate(columns)}
+    seen = train.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), filled(F.col(c)).alias("level")) for k, c in enumerate(columns))))).distinct().cache()
+    many = [columns[r["k"]] for r in seen.groupBy("k").count().where(F.col("count") > MAX_LEVELS).orderBy("k").collect()]
+    if many:
+        seen.unpersist()
+        raise ValueError(f"more than {MAX_LEVELS} values for features in {', '.join(many)}")
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in seen.collect():
+        out[columns[r["k"]]].append(r["level"])
+    seen.unpersist()
+    return {c: sorted(found) for c, found in out.items()}
 
 
 def one_hot(fitted: dict[str, list[str]]) -> dict[str, Column]:
@@ -134,15 +146,14 @@ def pca(df: DataFrame, v: str, dim: int, fit_on: DataFrame | None = None, centre
     return df.withColumn(v, F.col(v).cast("array<double>")).mapInArrow(run, df.withColumn(v, F.col(v).cast("array<double>")).schema)
 
 
-def feature_matrix(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], split: str = "split", graph_scope: str = "transductive", pca_dim: int | None = None, cosine: bool = True) -> DataFrame:
-    """key, label, split, v: scoped, scaled and one-hot encoded by the train rows, projected, of length 1 for cosine."""
+def feature_matrix(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], split: str = "split", graph_scope: str = "transductive", pca_dim: int | None = None, cosine: bool = True, centred: bool = True) -> DataFrame:
+    """key, label, split, v: scoped, scaled and one-hot encoded by the train rows, projected, of length 1 for cosine.
+
+    Without ``centred`` columns are scaled but keep their mean, and the
+    projection is on singular vectors of the matrix as it is.
+    """
     rows = scope(df, graph_scope, split)
-    features = standardized(df, numeric, moments(df, numeric, split)) | one_hot(levels(df, categorical, split))
+    features = standardized(df, numeric, moments(df, numeric, split), centred) | one_hot(levels(df, categorical, split))
     table = assembled(rows, [key, label, split], features)
-    table = pca(table, "v", pca_dim) if pca_dim else table
+    table = pca(table, "v", pca_dim, centred=centred) if pca_dim else table
     return table.withColumn("v", l2_normalized(F.col("v"))) if cosine else table
-
-
-def rows_and_blocks(n: int, per_block: int) -> int:
-    """Blocks of about so many rows."""
-    return max(1, math.ceil(n / per_block))

@@ -48,9 +48,10 @@ def pruned(edges: DataFrame, most: int) -> DataFrame:
     return strongest(edges, most)
 
 
-def adjacency(edges: DataFrame, weight: str = "score") -> DataFrame:
-    """One edge a pair; of repeated ones the heaviest stays."""
-    return edges.groupBy("src", "dst").agg(F.max(weight).alias(weight))
+def adjacency(edges: DataFrame, weight: str = "score", order: str | None = None) -> DataFrame:
+    """One edge a pair; of repeated ones the first by ``order`` stays, or where rows have no order the heaviest."""
+    first = F.max(weight) if order is None else F.min_by(weight, F.struct(order, -F.col(weight)))
+    return edges.groupBy("src", "dst").agg(first.alias(weight))
 
 
 def directedness(edges: DataFrame, mode: str) -> DataFrame:

@@ -43,7 +43,8 @@ def numeric_coercion(df: DataFrame, columns: list[str], share: float = NUMERIC_S
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, min_value, max_value, mean_value, std_value (population), pct_zero; nulls where nothing is a number."""
-    x = lambda c: F.col(c).cast("double")
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    x = lambda c: as_number(F.col(c)) if c in texts else F.col(c).cast("double")
     fields = lambda c: [F.round(F.min(x(c)), 6), F.round(F.max(x(c)), 6), F.round(F.avg(x(c)), 6), F.round(F.stddev_pop(x(c)), 6), F.round(F.avg(F.when(x(c) == 0, 100.0).when(x(c).isNotNull(), 0.0)), 6)]
     return _long(df, {c: fields(c) for c in columns}, ["min_value", "max_value", "mean_value", "std_value", "pct_zero"])
 
@@ -111,12 +112,14 @@ def as_rows(df: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
 def report(df: DataFrame, labels: list[str], times: list[str], entities: list[str]) -> dict:
     """Everything above for one table, as a nested record for a JSON sink."""
     kinds = type_suggestion(df)
+    texts = [c for c in kinds["categorical"] if dict(df.dtypes)[c] == "string"]
+    counted = [r["column_name"] for r in numeric_coercion(df, texts).where("is_numeric").collect()] if texts else []  # a row for each column
     rows = lambda t: [r.asDict() for r in t.collect()] if t is not None else []  # noqa: E731  a row for each column or class
     present = label_columns(df, labels)
     seen = [c for c in times if c in df.columns]
     return {
         "missing": rows(missing_profile(df, df.columns)),
-        "numeric": rows(numeric_summary(df, kinds["numeric"]) if kinds["numeric"] else None),
+        "numeric": rows(numeric_summary(df, kinds["numeric"] + counted) if kinds["numeric"] + counted else None),
         "categorical": rows(categorical_top(df, kinds["categorical"]) if kinds["categorical"] else None),
         "labels": {c: rows(class_distribution(df, c)) for c in present},
         "timestamps": rows(timestamp_detect(df, seen) if seen else None),

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Hex digits of a draw that make its bucket: 4096 buckets.
-PREFIX = 3
+#: Hex digits of a draw that make its bucket: 65536 buckets, and no more rows than that of counts for a group.
+PREFIX = 4
 
 
 def draw(seed: int, key: Column) -> Column:
@@ -26,9 +26,7 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
 
     ``bucket`` must not decrease along ``order``.  Null keys are a group.
     """
-    dealt = df.withColumn("_bucket", bucket)
-    marks = [F.struct(F.lit(0)) if not keys else F.struct(*keys)]
-    dealt = dealt.withColumn("_group", F.xxhash64(F.to_json(marks[0])) if keys else F.lit(0).cast("long"))
+    dealt = df.withColumn("_bucket", bucket).withColumn("_group", F.struct(*keys) if keys else F.lit(0))
     before = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_k"))
     counts = counts.select("_group", "_bucket", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(W.partitionBy("_group")).alias("_all"))

@@ -151,14 +151,14 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "knn_cosine": f"{near} SELECT * FROM knn",
         "knn_euclidean": f"WITH {knn(8, 'exp(-list_distance(a.v, b.v))')} SELECT * FROM knn",
-        "knn_budget_sweep": f"WITH {knn(16)} SELECT k, src, dst, score FROM ordered, (SELECT unnest([4, 8, 16])::bigint AS k) WHERE rn <= k",
+        "knn_budget_sweep": f"WITH {knn(32)} SELECT k, src, dst, score FROM ordered, (SELECT unnest([8, 16, 32])::bigint AS k) WHERE rn <= k",
         "knn_guarded": "SELECT 0::bigint AS edges",
         "knn_symmetric": f"{near}, {SYM} SELECT * FROM sym",
         "knn_mutual": f"{near}, {MUTUAL} SELECT * FROM mutual",
         "topm_budget": f"WITH {knn(16)} SELECT * FROM knn ORDER BY score DESC, src, dst LIMIT (SELECT count(*) * 4 FROM embeddings)",
         "prune_budget": f"{near}, {SYM} SELECT * FROM sym ORDER BY score DESC, src, dst LIMIT (SELECT count(*) * 4 // 2 FROM embeddings)",
         "edge_budgets": "SELECT d AS degree, floor(n * d)::bigint AS directed_edges, floor(n * d / 2)::bigint AS undirected_edges FROM (SELECT count(*) AS n FROM embeddings), (SELECT unnest([2.5, 4, 8, 16])::double AS d)",
-        "dedupe_edges": f"{near} SELECT src, dst, max(score) AS score FROM (SELECT * FROM knn UNION ALL SELECT src, dst, {r6('score / 2')} FROM knn) GROUP BY src, dst",
+        "dedupe_edges": f"{near} SELECT src, dst, arg_min(score, turn) AS score FROM (SELECT *, 0 AS turn FROM knn UNION ALL SELECT src, dst, {r6('score / 2')}, 1 FROM knn) GROUP BY src, dst",
         "directed_sym": f"{near}, {und_knn} SELECT * FROM und",
         "directed_mutual": f"{near}, {MUTUAL} SELECT src, dst FROM mutual",
         "selfloops_all": f"{near} SELECT src, dst FROM knn UNION SELECT id, id FROM emb",

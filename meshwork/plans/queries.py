@@ -77,7 +77,7 @@ def knn_euclidean(spark, sf_dir):
 
 @query
 def knn_budget_sweep(spark, sf_dir):
-    return knn.knn_sweep(vectors(spark, sf_dir), "id", "v", [4, 8, 16]).withColumn("k", F.col("k").cast("long"))
+    return knn.knn_sweep(vectors(spark, sf_dir), "id", "v", [8, 16, 32]).withColumn("k", F.col("k").cast("long"))
 
 
 @query
@@ -118,7 +118,8 @@ def edge_budgets(spark, sf_dir):
 @query
 def dedupe_edges(spark, sf_dir):
     edges = near(spark, sf_dir).select("src", "dst", "score")
-    return graphs.adjacency(edges.unionByName(edges.withColumn("score", F.round(F.col("score") / 2, 6))))
+    halved = edges.withColumn("score", F.round(F.col("score") / 2, 6))
+    return graphs.adjacency(edges.withColumn("turn", F.lit(0)).unionByName(halved.withColumn("turn", F.lit(1))), order="turn")
 
 
 @query
@@ -515,7 +516,7 @@ def _runs(spark, sf_dir, model):
     nodes = vectors(spark, sf_dir).withColumn("y_bin", (F.col("label") < 5).cast("int"))
     nodes = split.split_threeway(nodes, "id", "y_bin", 0.2, 0.1).withColumn("graph_id", F.lit(graphs.similarity_id(K, "cosine", None, "transductive")))
     edges = near(spark, sf_dir).select(F.lit(graphs.similarity_id(K, "cosine", None, "transductive")).alias("graph_id"), "src", "dst")
-    return gnn.train_runs(nodes, edges, [0, 1, 2], gnn.Training(model=model, epochs=30, rate=0.01, hidden=16)).drop(*gnn.TIMES)
+    return gnn.train_runs(nodes, edges, [0, 1, 2], gnn.Training(model=model)).drop(*gnn.TIMES)
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +23,10 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     session = builder.config(map=SETTINGS).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def job_session() -> SparkSession:
+    """The session of whoever submitted the job, on its cluster; without a master, one on this machine."""
+    if SparkConf().get("spark.master", None) is None and "MASTER" not in os.environ:
+        return local_session(os.cpu_count() or 8)
+    return SparkSession.builder.config(map={k: v for k, v in SETTINGS.items() if not SparkConf().contains(k)}).getOrCreate()

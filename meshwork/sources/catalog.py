@@ -1,4 +1,4 @@
-"""Registered datasets: where their files and columns are."""
+"""Registered datasets: the files that make them up, how a record is labelled, and what its columns may be."""
 
 from __future__ import annotations
 
@@ -6,18 +6,36 @@ from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
-class DatasetSpec:
-    """What is known of a dataset before it is read."""
+class Labelling:
+    """Where ``y_multi`` and ``y_bin`` come from.
+
+    ``classes`` is the column of class names.  ``flag`` is the column of 0 and
+    1; without it a record is flagged unless its cleaned class is the normal
+    one.  ``listed`` are all columns that hold labels.
+    """
+
+    classes: str
+    flag: str | None
+    listed: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class RawDataset:
+    """What reading, labelling and profiling need to know.
+
+    ``parts`` are (part, file): the part tells train rows from test rows.
+    ``header`` names the columns of files that have none.  ``candidates`` are
+    names that may be there, by role: ``time`` or ``entity``.
+    """
 
     name: str
-    files: tuple[str, ...]
-    has_header: bool
-    label_columns: tuple[str, ...]
-    multiclass: str
-    binary: str | None
-    timestamps: tuple[str, ...] = ()
-    entities: tuple[str, ...] = ()
-    columns: tuple[str, ...] = ()
+    parts: tuple[tuple[str, str], ...]
+    labels: Labelling
+    candidates: dict[str, tuple[str, ...]]
+    header: tuple[str, ...] = ()
+
+    def paths(self, folder: str) -> list[str]:
+        return [f"{folder.rstrip('/')}/{file}" for _, file in self.parts]
 
 
 # The header of the headerless files.
@@ -31,41 +49,33 @@ KDD_COLUMNS = (
 
 # Files, and names that may hold labels, times and entities.
 TIMES = ("timestamp", "ts", "stime", "ltime")
-KDD = DatasetSpec(
-    "kdd",
-    ("kdd/KDDTrain+.txt", "kdd/KDDTest+.txt"),
-    has_header=False,
-    label_columns=("label", "difficulty_level"),
-    multiclass="label",
-    binary=None,
-    timestamps=TIMES,
-    entities=("protocol_type", "service", "flag", "src_bytes", "dst_bytes", "src_ip", "dst_ip", "src_port", "dst_port", "sport", "dport", "state", "proto"),
-    columns=KDD_COLUMNS,
-)
-UNSW_NB15 = DatasetSpec(
-    "unsw-nb15",
-    ("unsw-nb15/UNSW_NB15_training-set.csv", "unsw-nb15/UNSW_NB15_testing-set.csv"),
-    has_header=True,
-    label_columns=("label", "attack_cat"),
-    multiclass="attack_cat",
-    binary="label",
-    timestamps=TIMES,
-    entities=("srcip", "dstip", "sport", "dport", "proto", "service", "state", "src_ip", "dst_ip", "src_port", "dst_port"),
-)
-TON_IOT = DatasetSpec(
-    "ton-iot",
-    ("ton-iot/train_test_network.csv",),
-    has_header=True,
-    label_columns=("label", "type"),
-    multiclass="type",
-    binary="label",
-    timestamps=TIMES,
-    entities=("src_ip", "dst_ip", "srcip", "dstip", "src_port", "dst_port", "sport", "dport", "proto", "service", "state"),
-)
-DATASETS = {s.name: s for s in (KDD, UNSW_NB15, TON_IOT)}
-
-
-def dataset(name: str) -> DatasetSpec:
+DATASETS = {
+    d.name: d
+    for d in (
+        RawDataset(
+            "kdd",
+            (("train_file", "kdd/KDDTrain+.txt"), ("test_file", "kdd/KDDTest+.txt")),
+            Labelling("label", None, ("label", "difficulty_level")),
+            {"time": TIMES, "entity": ("protocol_type", "service", "flag", "src_bytes", "dst_bytes", "src_ip", "dst_ip", "src_port", "dst_port", "sport", "dport", "state", "proto")},
+            KDD_COLUMNS,
+        ),
+        RawDataset(
+            "unsw-nb15",
+            (("train_file", "unsw-nb15/UNSW_NB15_training-set.csv"), ("test_file", "unsw-nb15/UNSW_NB15_testing-set.csv")),
+            Labelling("attack_cat", "label", ("label", "attack_cat")),
+            {"time": TIMES, "entity": ("srcip", "dstip", "sport", "dport", "proto", "service", "state", "src_ip", "dst_ip", "src_port", "dst_port")},
+        ),
+        RawDataset(
+            "ton-iot",
+            (("single_file", "ton-iot/train_test_network.csv"),),
+            Labelling("type", "label", ("label", "type")),
+            {"time": TIMES, "entity": ("src_ip", "dst_ip", "srcip", "dstip", "src_port", "dst_port", "sport", "dport", "proto", "service", "state")},
+        ),
+    )
+}
+
+
+def dataset(name: str) -> RawDataset:
     if name not in DATASETS:
         raise KeyError(f"unknown dataset {name!r}; known: {', '.join(sorted(DATASETS))}")
     return DATASETS[name]

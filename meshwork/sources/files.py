@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import attack_flag, clean_label, numeric_flag, stripped
-from .catalog import DatasetSpec
+from .catalog import RawDataset
 
 DELIMITERS = (",", "\t", " ", ";", "|")
 #: Texts that stand for a missing value in a CSV.
@@ -46,19 +46,39 @@ def with_provenance(df: DataFrame, part: str) -> DataFrame:
     return df.withColumn("_source_file", F.col("_metadata.file_name")).withColumn("_split_source", F.lit(part))
 
 
-def read_headerless(spark: SparkSession, path: str, columns: tuple[str, ...], delimiter: str = ",") -> DataFrame:
-    """Text columns under fixed names; a row of another width is an error."""
-    row = spark.read.text(path).limit(1).first()
-    if row and len(row["value"].split(delimiter)) != len(columns):
-        raise ValueError(f"{path} has {len(row['value'].split(delimiter))} columns, not {len(columns)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=False, sep=delimiter, mode="FAILFAST")
+def resolved(spark: SparkSession, folder: str, bases: tuple[str, ...]) -> str:
+    """A folder as it is given, or else below the first of the bases that has it."""
+    tried = [folder] if folder.startswith("/") or "://" in folder else [folder, *(f"{b.rstrip('/')}/{folder}" for b in bases)]
+    for path in tried:
+        if not missing_files(spark, [path]):
+            return path
+    raise FileNotFoundError(f"no such folder: {', '.join(tried)}")
 
 
 def without_na(df: DataFrame) -> DataFrame:
     """Text columns with every missing-value token as null."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in texts})
+    return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")) for c in texts})
+
+
+def typed_texts(df: DataFrame) -> DataFrame:
+    """Text columns whose values are all whole numbers, or all numbers, as such; one scan; columns without values stay text."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    fits = lambda c, kind: F.coalesce(F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), F.trim(F.col(f"`{c}`")).try_cast(kind).isNotNull())), F.lit(False))
+    row = df.agg(*(fits(c, kind).alias(f"{kind}{k}") for k, c in enumerate(texts) for kind in ("bigint", "double"))).first()
+    kinds = {c: "bigint" if row[f"bigint{k}"] else "double" for k, c in enumerate(texts) if row[f"double{k}"]}
+    return df.withColumns({c: F.trim(F.col(f"`{c}`")).try_cast(kind) for c, kind in kinds.items()})
+
+
+def read_headerless(spark: SparkSession, path: str, columns: tuple[str, ...], delimiter: str = ",") -> DataFrame:
+    """Text columns under fixed names, missing-value tokens as null; a row of another width is an error."""
+    row = spark.read.text(path).limit(1).first()
+    if row and len(row["value"].split(delimiter)) != len(columns):
+        raise ValueError(f"{path} has {len(row['value'].split(delimiter))} columns, not {len(columns)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return without_na(spark.read.schema(schema).csv(path, header=False, sep=delimiter, mode="FAILFAST"))
 
 
 def read_with_header(spark: SparkSession, path: str, delimiter: str = ",", schema: T.StructType | None = None) -> DataFrame:
@@ -68,29 +88,25 @@ def read_with_header(spark: SparkSession, path: str, delimiter: str = ",", schem
     return without_na(reader.csv(path))
 
 
-PARTS = {1: ("single_file",), 2: ("train_file", "test_file")}
-
-
-def read_dataset(spark: SparkSession, spec: DatasetSpec, folder: str) -> DataFrame:
-    """All files of a dataset with provenance, y_multi and y_bin."""
-    paths = [f"{folder.rstrip('/')}/{name}" for name in spec.files]
+def read_dataset(spark: SparkSession, raw: RawDataset, folder: str) -> DataFrame:
+    """All files of a dataset with provenance, y_multi and y_bin; text columns become numbers where all their values are."""
+    paths = raw.paths(folder)
     require_files(spark, paths)
-    parts = []
-    for path, part in zip(paths, PARTS[len(paths)]):
-        raw = read_with_header(spark, path, sniff_delimiter(spark, path)) if spec.has_header else read_headerless(spark, path, spec.columns)
-        parts.append(with_provenance(raw, part))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return labelled(out, spec)
-
-
-def labelled(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """``y_multi`` and ``y_bin`` by the dataset's rule; a missing binary column is an error."""
-    if spec.binary is None:
-        multi = clean_label(F.col(spec.multiclass))
+    out = None
+    for (part, _), path in zip(raw.parts, paths):
+        rows = read_headerless(spark, path, raw.header) if raw.header else read_with_header(spark, path, sniff_delimiter(spark, path))
+        rows = with_provenance(rows, part)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return labelled(typed_texts(out), raw)
+
+
+def labelled(df: DataFrame, raw: RawDataset) -> DataFrame:
+    """``y_multi`` and ``y_bin`` by the dataset's rule; a missing flag column is an error."""
+    rule = raw.labels
+    if rule.flag is None:
+        multi = clean_label(F.col(rule.classes).cast("string"))
         return df.withColumn("y_multi", multi).withColumn("y_bin", attack_flag(F.col("y_multi")))
-    if spec.binary not in df.columns:
-        raise ValueError(f"{spec.name} has no column {spec.binary!r}")
-    multi = stripped(F.col(spec.multiclass).cast("string")) if spec.multiclass in df.columns else F.lit(None).cast("string")
-    return df.withColumn("y_multi", multi).withColumn("y_bin", numeric_flag(F.col(spec.binary).cast("string")))
+    if rule.flag not in df.columns:
+        raise ValueError(f"{raw.name} has no column {rule.flag!r}")
+    multi = stripped(F.col(rule.classes).cast("string")) if rule.classes in df.columns else F.lit(None).cast("string")
+    return df.withColumn("y_multi", multi).withColumn("y_bin", numeric_flag(F.col(rule.flag).cast("string")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,10 +98,10 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def cached(spark: SparkSession, root: str, config: dict, make) -> DataFrame:
-    """The stored table of a configuration; made and stored where there is none."""
+def cached(spark: SparkSession, root: str, config: dict, make, overwrite: bool = False) -> DataFrame:
+    """The stored table of a configuration; made and stored where there is none, or anew."""
     path = f"{root.rstrip('/')}/{config_key(config)}"
-    if not is_complete(spark, path):
+    if overwrite or not is_complete(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -123,7 +124,27 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def read_results(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Nested run results; files that are no JSON are left out."""
-    df = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
-    return df.where("graph_id is not null").drop("_broken")
+#: Folders of run results, from the outermost in: a run writes to its own and leaves the others alone.
+RUN = ["dataset", "model", "graph_id", "seed"]
+
+
+def write_results(results: DataFrame, root: str) -> None:
+    """Nested run results as JSON below a folder for each dataset, model, graph and seed."""
+    writer = results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
+    writer.partitionBy(*RUN).json(root)
+
+
+def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All run results below a folder; lines that are no JSON are left out with a warning."""
+    df = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").json(root)
+    every = [F.count(F.col(c)) for c in df.columns if c not in RUN]  # a scan for the broken text alone is refused
+    if broken := df.agg(F.count("_broken").alias("broken"), *every).first()["broken"]:
+        warnings.warn(f"{broken} unreadable results below {root} are left out", stacklevel=2)
+    return df.where("_broken is null and graph_id is not null").drop("_broken")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Tells a table from another, whatever the order of its rows."""
+    h = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns)))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
+    return config_key({"columns": sorted(df.columns), "rows": row["n"], "x": row["x"], "s": str(row["s"])})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import random
 
 import numpy as np
@@ -35,6 +36,9 @@ def test_from_files_to_results(spark, folder):
     document = jobs.prepare_dataset(spark, "kdd", raw, schemas, processed)
     assert sum(document["split_counts"].values()) == 110 and document["split_counts"]["test"] == 30
     assert "label" not in document["roles"]["features"] and "protocol_type" not in document["roles"]["features"]
+    assert len(document["roles"]["numeric"]) == 36 and document["roles"]["categorical"] == []
+    profiled = store.read_json(spark, f"{schemas}/kdd/profile.json")
+    assert "duration" in {r["column_name"] for r in profiled["numeric"]} and "service" in {r["column_name"] for r in profiled["categorical"]}
     assert all(r.violations == 0 for r in jobs.check_processed(spark, processed, "kdd").collect())
     paths = jobs.build_graphs(spark, "kdd", processed, built, ks=(3, 5), pca_dim=8)
     assert all(r.violations == 0 for r in jobs.check_graphs(spark, paths).collect())
@@ -46,6 +50,16 @@ def test_from_files_to_results(spark, folder):
     jobs.train(spark, budget, f"{folder}/results", seeds=(0, 1), epochs=3, hidden=4)
     flat = jobs.analyse(spark, f"{folder}/results", f"{folder}/analysis")
     assert flat.count() == 2 and {r.method for r in flat.collect()} == {"mutual"}
+    assert jobs.train(spark, budget, f"{folder}/results", model="gat", seeds=(1, 2), epochs=2, hidden=4).count() == 2
+    jobs.train(spark, budget, f"{folder}/results", model="gat", seeds=(2,), epochs=2, hidden=4)
+    (run,) = glob.glob(f"{folder}/results/dataset=kdd/model=gcn/*/seed=0")
+    with open(f"{run}/broken.json", "w") as out:
+        out.write('{"epochs_ran": ')
+    with pytest.warns(UserWarning, match="1 unreadable"):
+        both = jobs.analyse(spark, f"{folder}/results", f"{folder}/analysis").collect()
+    assert sorted((r.model, r.seed) for r in both) == [("gat", 1), ("gat", 2), ("gcn", 0), ("gcn", 1)]
+    with pytest.raises(ValueError):
+        jobs.train(spark, budget * 2, f"{folder}/results")
     assert spark.read.csv(f"{folder}/analysis/mean_mcc", header=True).count() == 1
 
 
@@ -78,8 +92,16 @@ def test_built_graphs_keep_their_time(spark, folder):
     (path,) = jobs.build_graphs(spark, "kdd", processed, built, ks=(3,))
     g, config = store.read_graph(spark, path)
     assert g.edges.count() == 90 and config["edge_creation_time_seconds"] > 0
+    assert all(config[f"{stage}_seconds"] > 0 for stage in ("feature", "knn", "ops", "metrics"))
     assert jobs.build_graphs(spark, "kdd", processed, built, ks=(3,)) == [path]
     assert store.read_graph(spark, path)[1] == config
+    changed = [(i, s, y, a + 5 * y, b) for i, s, y, a, b in rows]
+    store.write_processed(spark.createDataFrame(changed, "row_id long, split string, y_bin int, a double, b double"), f"{processed}/kdd/data")
+    jobs.build_graphs(spark, "kdd", processed, built, ks=(3,))
+    anew, now = store.read_graph(spark, path)
+    assert now["data"] != config["data"] and anew.nodes.orderBy("id").first()["v"] != [0.0, 0.0]
+    jobs.build_graphs(spark, "kdd", processed, built, ks=(3,), centred=False, overwrite=True)
+    assert store.read_graph(spark, path)[1]["centred"] is False
 
 
 def test_metric_record_equals_the_one_over_tables(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,12 +11,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meshwork.functions.cleaning import clean_label, null_like
-from meshwork.operators import evaluate, features, gnn, graph, knn, metrics, prepare, profile, split
+from meshwork.operators import checks, evaluate, features, gnn, graph, knn, metrics, prepare, profile, split
 from meshwork.operators.components import components
 from meshwork.operators.graph import Graph
+from meshwork.operators.ranking import ranked
 from meshwork.sources import store
 from meshwork.sources.catalog import dataset
-from meshwork.sources.files import best_delimiter, labelled, missing_files, read_headerless, read_with_header, with_provenance
+from meshwork.sources.files import best_delimiter, labelled, missing_files, read_headerless, read_with_header, resolved, typed_texts, with_provenance
 
 
 def rows(df, *names):
@@ -183,6 +186,86 @@ def test_ring_is_linear_in_the_group(spark):
     assert got == sorted((i, (i + t) % 6) for i in range(6) for t in (1, 2))
 
 
+def test_stars_around_hot_nodes(spark, monkeypatch):
+    """With every node of two edges and more taken for hot, and dealt by broadcast, the result stays."""
+    from meshwork.operators import components as module
+
+    draws = random.Random(2)
+    pairs = [(0, i) for i in range(1, 25)] + [(draws.randrange(25, 60), draws.randrange(25, 60)) for _ in range(25)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    wanted = rows(components(nodes(spark, 60), e))
+    monkeypatch.setattr(module, "MANY_EDGES", 1)
+    monkeypatch.setattr(module, "HOT_SHARE", 40)
+    assert rows(components(nodes(spark, 60), e)) == wanted
+
+
+def test_stored_tables_are_deleted(spark):
+    from meshwork.sources import shared
+
+    before = shared.written(spark)
+    kept, gone = shared.stored(spark.range(3), "kept"), shared.stored(spark.range(3), "gone")
+    shared.discard(gone)
+    assert shared.written(spark) - before == {kept._stored_at} and kept.count() == 3
+    shared.release(spark, before)
+    assert shared.written(spark) == before
+
+
+def test_groups_of_equal_hash_text_stay_apart(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, "a", 2), (None, None, 3), ("a", None, 4), (None, None, 5)], "x string, y string, i int")
+    got = ranked(df, ["x", "y"], F.col("i"), [F.col("i")])
+    assert rows(got, "i", "rn", "n") == [(1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 2, 2), (5, 2, 2)]
+
+
+def test_too_many_levels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_LEVELS", 3)
+    df = spark.createDataFrame([("train", str(i), "x") for i in range(4)], "split string, many string, one string")
+    assert features.levels(df, ["one"]) == {"one": ["x"]}
+    with pytest.raises(ValueError, match="many"):
+        features.levels(df, ["one", "many"])
+
+
+def test_uncentred_features_keep_their_mean(spark):
+    df = spark.createDataFrame([(0, 0, "train", 1.0), (1, 1, "train", 3.0), (2, 0, "test", 5.0)], "id long, y int, split string, x double")
+    got = features.feature_matrix(df, "id", "y", ["x"], [], cosine=False, centred=False)
+    assert rows(got, "id", "v") == [(0, [1.0]), (1, [3.0]), (2, [5.0])]
+
+
+def test_first_of_repeated_edges_stays(spark):
+    e = spark.createDataFrame([(0, 1, 0.2, 0), (0, 1, 0.9, 1), (1, 0, 0.5, 0)], "src long, dst long, score double, turn int")
+    assert rows(graph.adjacency(e, order="turn")) == [(0, 1, 0.2), (1, 0, 0.5)]
+    assert rows(graph.adjacency(e)) == [(0, 1, 0.9), (1, 0, 0.5)]
+
+
+def test_graph_checks_of_pruned_and_empty_graphs(spark):
+    g = Graph(nodes(spark, 4).withColumn("y", F.lit(1)).withColumn("split", F.lit("train")), edges(spark, [(0, 1, 1)]))
+    bad = lambda graph_, k: {r.rule for r in checks.graph_violations(graph_, "y", "split", k).collect() if r.violations}
+    assert bad(g, 3) == {"edge_count_near_nodes_times_k"} and bad(g, None) == set()
+    assert bad(Graph(g.nodes.limit(0), g.edges.limit(0)), 3) == set()
+
+
+def test_typed_texts(spark):
+    df = spark.createDataFrame([("1", " 2.5", "x", None, "1"), (None, "3", "4", None, "1e400")], "a string, b string, c string, d string, e string")
+    assert [f.dataType.simpleString() for f in typed_texts(df).schema] == ["bigint", "double", "string", "string", "double"]
+
+
+def test_folders_are_found_below_bases(spark, tmp_path):
+    (tmp_path / "base/data").mkdir(parents=True)
+    assert resolved(spark, "data", (str(tmp_path), f"{tmp_path}/base")) == f"{tmp_path}/base/data"
+    assert resolved(spark, str(tmp_path), ()) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        resolved(spark, "data", (str(tmp_path),))
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_of_tied_scores(k):
+    draws = np.random.default_rng(k)
+    table, ids = draws.integers(0, 4, (9, 30)) / 4, draws.permutation(30)
+    own = ids[:9]
+    got = knn._best(table.copy(), own, ids, k)
+    wanted = [(i, j) for i in range(9) for j in sorted((j for j in range(30) if ids[j] != own[i]), key=lambda j: (-table[i, j], ids[j]))[:k]]
+    assert list(zip(got[0].tolist(), got[1].tolist())) == wanted
+
+
 def test_one_class_has_no_area(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, p double")
     assert rows(evaluate.ranking_scores(df, "y", "p")) == [(None, None)]
