@@ -96,7 +96,7 @@ def separator_scan(blocks: DataFrame, end: int, kind: str) -> DataFrame:
             columns = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in columns[:4]), *(pa.array(x, pa.list_(pa.int64())) for x in columns[4:])], ["shard", "block", "size", "separators", "head", "tail", "inner", "starts"])
 
-    summary = blocks.select("shard", "block", "ids").mapInArrow(run, SUMMARY)
+    summary = materialize(blocks.select("shard", "block", "ids").mapInArrow(run, SUMMARY), "blocks")
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("shard")
     scanned = summary.select(
