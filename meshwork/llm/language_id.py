@@ -10,7 +10,6 @@ temperature is fitted on a part of the sample that training leaves out.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +25,9 @@ SLOTS = 1 << SLOT_BITS
 #: Characters of a text that are looked at together.
 BLOCK = 1 << 18
 UNKNOWN = "und"
-#: Values of the hash that draws the sample, and languages that it holds at most.
+#: Values of the hash that draws the sample.
 HASHES = 1 << 31
 
-LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass(frozen=True)
 class Learning:
@@ -81,7 +78,7 @@ def weighted(slots: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -185,7 +182,7 @@ def fit(docs: DataFrame, how: Learning = Learning()) -> Model:
     """Learns from text and lang of the documents that are not held out; null langs and letterless texts teach nothing."""
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    labelled = own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.trim("text") != ""))
+    labelled = own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     found, n = document_frequencies(labelled.select("text"))
     idf = np.log((1 + n) / (1 + found)) + 1
     rows = sample(labelled, how.max_rows)
