@@ -6,8 +6,10 @@ lengths (at most ``capacity`` numbers, whatever the corpus holds) and works on
 bin patterns with multiplicities: best-fit decreasing opens the bins, then
 documents are moved or exchanged one for one, two for one and one for two
 between underfull bins.  Each exchange raises the sum of squared fills, and
-bins that run empty vanish.  It ends at the lower bound ceil(tokens / capacity)
-or where no exchange is left.
+bins that run empty vanish.  Where no such exchange is left, a few bins at a
+time, full ones among them, exchange many for many: they are filled anew, each
+as full as can be, if that raises their squared fill.  The search ends at the
+lower bound ceil(tokens / capacity), or after ``TRIES`` such exchanges.
 
 Pieces find their places by rank among the pieces of their length.  Ranks are
 counted in salted groups with prefix sums over group sizes, so a length that a
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,6 +34,8 @@ from .bpe import codec, vocabulary_path
 from .runtime import documents, materialize, prepare
 
 CAPACITY = 2048
+#: Exchanges of many for many that are tried, those in a row without success after which the search ends, and their bins.
+TRIES, MISSES, FEW = 20_000, 4000, 8
 #: Pieces of one length that one task ranks at most, about.
 GROUP_ROWS = 20_000
 
@@ -211,6 +216,68 @@ def local_search(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
     return {p: m for p, m in bins.items() if m > 0}
 
 
+def fullest(pieces: list[int], capacity: int) -> list[int]:
+    """Of pieces in rising order the longest one and those that fill its bin best, longer ones first; they are taken out."""
+    out = [pieces.pop()]
+    reach = [1]  # by pieces used: a bit for each sum
+    for n in pieces:
+        reach.append(reach[-1] | reach[-1] << n)
+    gap = (reach[-1] & ((1 << (capacity - out[0] + 1)) - 1)).bit_length() - 1
+    for k in range(len(pieces) - 1, -1, -1):
+        if pieces[k] <= gap and reach[k] >> (gap - pieces[k]) & 1:
+            gap -= pieces[k]
+            out.append(pieces.pop(k))
+    return out
+
+
+def refilled(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
+    """A few bins at a time filled anew, while that raises their squared fill; the same bins for the same input."""
+    bins = Counter({p: m for p, m in bins.items() if m > 0})
+    least, used = -(-sum(fill(p) * m for p, m in bins.items()) // capacity), sum(bins.values())
+    draws, every, tries, misses = random.Random(0), sorted(bins), 0, 0
+    under = [p for p in every if fill(p) < capacity]
+    while used > least and tries < TRIES and misses < MISSES:
+        tries, misses = tries + 1, misses + 1
+        chosen: Counter = Counter()
+        for k in range(draws.randint(2, FEW)):
+            p = draws.choice(under if k % 2 == 0 else every)
+            if chosen[p] < bins[p]:
+                chosen[p] += 1
+        pieces = sorted(n for p, m in chosen.items() for n, k in p for _ in range(k * m))
+        made: Counter = Counter()
+        while pieces:
+            made[_plus((), Counter(fullest(pieces, capacity)))] += 1
+        squares = lambda table: sum(fill(p) ** 2 * m for p, m in table.items())
+        if squares(made) <= squares(chosen):
+            continue
+        misses = 0
+        used += sum(made.values()) - sum(chosen.values())
+        for p in sorted(made):
+            if not bins[p]:
+                every.append(p)
+                if fill(p) < capacity:
+                    under.append(p)
+        bins.update(made)
+        bins.subtract(chosen)
+        if len(every) > 2 * len(bins) or tries % 1000 == 0:  # the dead go
+            bins = +bins
+            every = sorted(bins)
+            under = [p for p in every if fill(p) < capacity]
+    return {p: m for p, m in bins.items() if m > 0}
+
+
+def packed(lengths: dict[int, int], capacity: int) -> dict[Pattern, int]:
+    """The fewest bins that the search finds from best-fit decreasing or, short of the lower bound, from a bin for each piece."""
+    least = -(-sum(n * m for n, m in lengths.items()) // capacity)
+    best: dict[Pattern, int] = {}
+    for start in (best_fit_decreasing, lambda own, _: {((n, 1),): m for n, m in own.items()}):
+        if best and sum(best.values()) <= least:
+            break
+        found = refilled(local_search(start(lengths, capacity), capacity), capacity)
+        best = found if not best or sum(found.values()) < sum(best.values()) else best
+    return best
+
+
 def layout(bins: dict[Pattern, int]) -> np.ndarray:
     """Rows (length, first rank, pieces a bin, first sequence, offset), by length and rank."""
     rows, used, sequence = [], Counter(), 0
@@ -235,7 +302,7 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = C
     spark = prepare(docs.sparkSession)
     pieces = materialize(pieces_of(docs, path or vocabulary_path(), capacity), "pieces")
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    table = layout(local_search(best_fit_decreasing(lengths, capacity), capacity))
+    table = layout(packed(lengths, capacity))
     salts = max(16, math.ceil(max(lengths.values(), default=0) / GROUP_ROWS))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
