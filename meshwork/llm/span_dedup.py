@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def spans_of(parts: list[str], rule: Spans) -> tuple[np.ndarray, np.ndarray, np.
     words = [p.lower().encode().split() for p in parts]
     n = np.fromiter(map(len, words), np.int64, len(words))
     full = np.flatnonzero(n)
-    h = np.fromiter((WORD_HASHES[w] for own in words for w in own), np.uint64, int(n.sum()))
+    h = np.fromiter(map(WORD_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
     ends = np.cumsum(n[full])
     starts = ends - n[full]
     to, since = np.maximum(ends, starts + rule.words), np.minimum(starts, ends - rule.words)
@@ -72,7 +73,8 @@ def spans_of(parts: list[str], rule: Spans) -> tuple[np.ndarray, np.ndarray, np.
     last = np.append(np.searchsorted(ends, to[ahead], "right") - 1, back)
     _, own = np.unique(a * (len(h) + 1) + b, return_index=True)
     a, b, first, last = a[own], b[own], first[own], last[own]
-    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h[i:j].tobytes()) for i, j in zip(a.tolist(), b.tolist())), np.int64).reshape(-1, 2)
+    raw = h.tobytes()
+    keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip((8 * a).tolist(), (8 * b).tolist())]), np.int64).reshape(-1, 2)
     return full[first], full[last] - full[first] + 1, a, keys
 
 
