@@ -40,8 +40,8 @@ from .shingles import mix, shingle_set
 BLOCK_SHINGLES = 500_000
 #: Another round of stars comes before the exact rest where the rest would copy more than so many sets a member.
 COPIES = 4
-#: Edges whose sets one centre's set meets in one task, about.
-CENTRE_EDGES = 20_000
+#: Edges whose sets one centre's set meets in one task, about; and the share of all edges below which a centre is not dealt out.
+CENTRE_EDGES, CENTRE_SHARE = 20_000, 1000
 #: Bits of the filter on document ids: 2 MB, broadcast with the function that uses it.
 FILTER_BITS = 1 << 24
 
@@ -148,14 +148,16 @@ def _linked(common, n, m, percent: int):
 def verified(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """The stored edges (a, b) whose full sets are similar enough.
 
-    A centre's set is copied for every ``CENTRE_EDGES`` of all edges at most,
-    and no more often than it has edges, so no task meets a large star whole.
+    A centre with more than a thousandth of all edges is copied for every
+    ``CENTRE_EDGES`` of its own, so no task meets a large star whole; there
+    are a thousand such centres at most, and their numbers are broadcast.
     """
-    parts = max(1, math.ceil(edges.count() / CENTRE_EDGES))
-    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    least = max(CENTRE_EDGES, edges.count() // CENTRE_SHARE)
+    large = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("a", F.ceil(F.col("n") / CENTRE_EDGES).alias("parts"))
+    dealt = edges.join(F.broadcast(large), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0).cast("long")).alias("part"))
+    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(F.broadcast(large), "a", "left")
+    one = one.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
     other = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    one = dealt.select("a", "part").distinct().join(one, "a") if parts > 1 else one.withColumn("part", F.lit(0).cast("long"))
     sized = dealt.join(other, "b").join(one, ["a", "part"]).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
     return sized.where(_linked(F.col("common"), F.col("n"), F.col("m"), near.percent)).select("a", "b")
 
