@@ -142,6 +142,7 @@ def test_exact_rest_in_small_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(near, "BLOCK_SHINGLES", 600)
     monkeypatch.setattr(near, "COPIES", most)
     monkeypatch.setattr(near, "CENTRE_EDGES", 5)
+    monkeypatch.setattr(near, "CENTRE_SHARE", 10**9)
     texts = chained(60)
     from dataclasses import replace
 
