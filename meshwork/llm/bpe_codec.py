@@ -1,38 +1,49 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash over its last bytes meets a mask, so equal
-passages in different documents give equal chunks.  A chunk is encoded once in
-a worker: its ids are kept in a bounded cache as a head, a core and a tail.
-Core ids hold wherever the chunk stands, because the core begins and ends at
-positions where the pattern always splits: before a lone space between two
-other characters that are not white space.  What lies outside the cores of two
-neighbours is joined and encoded again, and grows over whole chunks where a
-chunk has no core; then head, core and tail agree with the whole text's ids.
+passages in different documents give equal chunks.  The digests of all chunks
+are counted over the corpus.  A chunk that occurs more than once is sent to one
+task, is encoded there once, and its ids go to the texts that hold it, as a
+head, a core and a tail.  Core ids hold wherever the chunk stands, because the
+core begins and ends at positions where the pattern always splits: before a
+lone space between two other characters that are not white space.  What lies
+outside the cores of two neighbours is joined and encoded again, and grows over
+whole chunks where a chunk has no core; then head, core and tail agree with the
+whole text's ids.
+
+Only texts that hold a shared chunk are shuffled.  Which ones those are, and
+which chunks, tell two bitmaps of fixed size; what a bitmap lets through by
+chance is shuffled too and gives the same ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import OrderedDict
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, vocabulary_path
-from .runtime import documents, prepare
+from .bpe import Codec, codec, vocabulary_path
+from .runtime import bitmap, documents, has_bit, materialize, prepare
 
 #: Chunks are cut on average every 2**CUT_BITS bytes, and never below MIN_CHUNK.
 CUT_BITS, MIN_CHUNK = 9, 128
-#: Bytes of chunk text that a worker keeps at most.
-CACHE_BYTES = 64 << 20
+#: Bits of each of the two filters: 2 MB, broadcast with the function that uses it.
+FILTER_BITS = 1 << 24
 #: Where a text can be encoded in two parts: fixed by the split pattern.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+TEXTS = "doc_id long, raw binary, tx long, ty long"
+HELD = "tx long, ty long, x long, y long, chunk binary"
+CODES = "x long, y long, head binary, core binary, tail binary"
+
+Entry = tuple[bytes, bytes | None, bytes]
 
 
 def cut_points(raw: bytes) -> list[int]:
@@ -57,97 +68,151 @@ def cut_points(raw: bytes) -> list[int]:
     return [*cuts, len(raw)]
 
 
-class ChunkCoder:
-    """Encodes texts chunk by chunk, reusing what it has seen."""
-
-    def __init__(self, path: str):
-        self.codec = codec(path)
-        self.seen: OrderedDict[bytes, tuple[str, np.ndarray | None, str]] = OrderedDict()
-        self.held = self.hits = self.misses = 0
-
-    def chunk(self, raw: bytes) -> tuple[str, np.ndarray | None, str]:
-        """(head, ids of the core, tail); no core: the whole text is the head."""
-        if (known := self.seen.get(raw)) is not None:
-            self.hits += 1
-            self.seen.move_to_end(raw)
-            return known
-        self.misses += 1
-        text = raw.decode()
-        safe = SAFE.search(text)
-        last = text.rfind(" ", 0, len(text) - 1) if safe else -1
-        while safe and last > safe.start() and not SAFE.match(text, last):
-            last = text.rfind(" ", 0, last)
-        if safe and last > safe.start():
-            entry = (text[: safe.start()], self.codec.encode(text[safe.start() : last]), text[last:])
-        else:
-            entry = (text, None, "")
-        self.seen[raw] = entry
-        self.held += len(raw)
-        while self.held > CACHE_BYTES:
-            self.held -= len(self.seen.popitem(last=False)[0])
-        return entry
-
-    def encode(self, raw: bytes) -> np.ndarray:
-        """Ids of a whole text; equal to encoding it in one piece."""
-        if any(s.encode() in raw for s in self.codec.specials):
-            return self.codec.encode(raw.decode())
-        cuts = cut_points(raw)
-        parts, joint = [], ""
-        for a, b in zip(cuts, cuts[1:]):
-            head, core, tail = self.chunk(raw[a:b])
-            joint += head
-            if core is not None:
-                if joint:
-                    parts.append(self.codec.encode(joint))
-                parts.append(core)
-                joint = tail
-        if joint:
-            parts.append(self.codec.encode(joint))
-        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
-
-
-@lru_cache(maxsize=2)
-def coder(path: str) -> ChunkCoder:
-    """One coder, and one cache, a worker process."""
-    return ChunkCoder(path)
+def chunks_of(raw: bytes, specials: dict[str, int]) -> list[bytes]:
+    """The chunks of a text; none of a text that holds an added token's string, which is encoded whole."""
+    if not raw or any(s.encode() in raw for s in specials):
+        return []
+    cuts = cut_points(raw)
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def chunk_keys(chunks: list[bytes]) -> np.ndarray:
+    """Two 64-bit numbers for each chunk."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), np.int64).reshape(-1, 2)
+
+
+def coded(chunk: bytes, own: Codec) -> Entry:
+    """(head, ids of the core, tail) of a chunk; without a core it is all head."""
+    text = chunk.decode()
+    safe = SAFE.search(text)
+    last = text.rfind(" ", 0, len(text) - 1) if safe else -1
+    while safe and last > safe.start() and not SAFE.match(text, last):
+        last = text.rfind(" ", 0, last)
+    if not safe or last <= safe.start():
+        return chunk, None, b""
+    return text[: safe.start()].encode(), own.encode(text[safe.start() : last]).tobytes(), text[last:].encode()
+
+
+def joined(chunks: list[bytes], known: dict[tuple[int, int], Entry], own: Codec) -> np.ndarray:
+    """Ids of the text that the chunks make up: cores where they are known, all else encoded."""
+    parts, joint = [], []
+    for chunk, key in zip(chunks, map(tuple, chunk_keys(chunks).tolist())):
+        head, core, tail = known.get(key, (chunk, None, b""))
+        joint.append(head)
+        if core is not None:
+            if any(joint):
+                parts.append(own.encode(b"".join(joint).decode()))
+            parts.append(np.frombuffer(core, "<u4"))
+            joint = [tail]
+    if any(joint):
+        parts.append(own.encode(b"".join(joint).decode()))
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, raw, and a key of the text: texts that share one by chance only know chunks they do not hold."""
+    return documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("tx"), F.xxhash64(F.lit(1), "text").alias("ty"))
+
+
+def _slot(key: str):
+    return F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")
+
+
+def shared_chunks(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(links, codes): which texts hold which shared chunks, and each of those encoded once."""
+
+    def count(batches):
+        specials = codec(path).specials
+        for batch in batches:
+            chunks = [c for raw in batch.column(1).to_pylist() for c in chunks_of(raw or b"", specials)]
+            keys, n = np.unique(chunk_keys(chunks), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(n.astype(np.int64))], ["x", "y", "n"])
+
+    counts = texts.mapInArrow(count, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    often = bitmap(counts.where("n > 1").select(_slot("x")), FILTER_BITS)
+
+    def hold(batches):
+        specials = codec(path).specials
+        for batch in batches:
+            rows = ([], [], [], [], [])
+            for raw, tx, ty in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                chunks = chunks_of(raw or b"", specials)
+                keys = chunk_keys(chunks)
+                found = {tuple(keys[k].tolist()): chunks[k] for k in np.flatnonzero(has_bit(often, keys[:, 0] & (FILTER_BITS - 1))).tolist()}
+                for (x, y), chunk in found.items():
+                    for column, value in zip(rows, (tx, ty, x, y, chunk)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows[:4]), pa.array(rows[4], pa.binary())], ["tx", "ty", "x", "y", "chunk"])
+
+    def encode(batches):
+        own = codec(path)
+        for batch in batches:
+            found = [coded(chunk, own) for chunk in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], ["x", "y", "head", "core", "tail"])
+
+    held = materialize(texts.mapInArrow(hold, HELD), "chunks")
+    codes = materialize(held.groupBy("x", "y").agg(F.first("chunk").alias("chunk")).mapInArrow(encode, CODES), "codes")
+    return held.select("tx", "ty", "x", "y").distinct(), codes
+
+
+def encoded(docs: DataFrame, path: str, finish: Callable, schema: str) -> DataFrame:
+    """A row for each document: doc_id and what ``finish(ids, codec)`` makes of its ids; schema: all columns."""
+    prepare(docs.sparkSession)
+    texts = _texts(docs)
+    links, codes = shared_chunks(texts, path)
+    holding = bitmap(links.select(_slot("tx")), FILTER_BITS)
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+
+    def rows(doc_ids, found):
+        return pa.RecordBatch.from_arrays([doc_ids, *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds[1:]))], names)
+
+    def picked(batch, wanted: bool):
+        return batch.filter(pa.array(has_bit(holding, batch.column(2).to_numpy() & (FILTER_BITS - 1)) == wanted))
+
+    def alone(batches):
+        own = codec(path)
+        for batch in batches:
+            batch = picked(batch, False)
+            yield rows(batch.column(0), [finish(own.encode((raw or b"").decode()), own) for raw in batch.column(1).to_pylist()])
+
+    def sharing(batches):
+        for batch in batches:
+            yield picked(batch, True)
+
+    def together(batches):
+        own = codec(path)
+        for batch in batches:
+            found = []
+            for raw, marks in zip(batch.column(1).to_pylist(), batch.column(2)):
+                fields = [f.to_pylist() for f in marks.values.flatten()] if marks.is_valid else [[]] * 5
+                known = {(x, y): entry for x, y, *entry in zip(*fields)}
+                chunks = chunks_of(raw or b"", own.specials) if known else []
+                found.append(finish(joined(chunks, known, own) if chunks else own.encode((raw or b"").decode()), own))
+            yield rows(batch.column(0), found)
+
+    known = links.join(codes.hint("merge"), ["x", "y"]).groupBy("tx", "ty").agg(F.collect_list(F.struct("x", "y", "head", "core", "tail")).alias("known"))
+    met = texts.mapInArrow(sharing, TEXTS).join(known.hint("merge"), ["tx", "ty"], "left").select("doc_id", "raw", "known")
+    return texts.mapInArrow(alone, schema).unionByName(met.mapInArrow(together, schema))
 
 
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null text counts as empty and has no ids.  Null doc_ids and repeated rows
-    are rows like others; an empty table gives an empty result.  There is no
-    shuffle: a lost executor costs its running tasks only.
+    are rows like others, and equal texts have equal values; an empty table
+    gives an empty result.
     """
-    spark = prepare(docs.sparkSession)
-    path = path or vocabulary_path()
 
-    def run(batches):
-        own = coder(path)
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for raw in batch.column(1).to_pylist():
-                ids = own.encode(raw or b"")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(own.codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(ids, own):
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
-    return documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, SCHEMA)
+    return encoded(docs, path or vocabulary_path(), finish, SCHEMA)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: doc_id and its ids as little-endian unsigned 32-bit integers."""
-    spark = prepare(docs.sparkSession)
-    path = path or vocabulary_path()
-
-    def run(batches):
-        own = coder(path)
-        for batch in batches:
-            ids = [own.encode(raw or b"").tobytes() for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, ids binary")
+    return encoded(docs, path or vocabulary_path(), lambda ids, own: (ids.tobytes(),), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import compacted, discard, documents, files_for, is_empty, materialize, prepare
+from .runtime import bitmap, compacted, discard, documents, files_for, has_bit, is_empty, materialize, prepare
 from .shingles import mix, shingle_set
 
 #: Shingle hashes in one block of the exact rest, about.
@@ -112,27 +112,17 @@ def _slot() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
 
-def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits in 64-bit words, one set for each id: of the same size whatever the ids."""
-    slots = ids.select(_slot().alias("slot"))
-    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return bitmap
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, near: Near) -> DataFrame:
     """node and its sorted shingle hashes, of the documents whose ids are wanted.
 
     A bitmap of fixed size keeps most other texts from being shuffled; what it
     lets through by chance the join takes out.
     """
-    bitmap = id_bitmap(wanted)
+    there = bitmap(wanted.select(_slot().alias("slot")), FILTER_BITS)
 
     def run(batches):
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bitmap[slot >> 6] >> (slot & 63)) & 1 == 1))
+            batch = batch.filter(pa.array(has_bit(there, batch.column(2).to_numpy())))
             sets = [shingle_set(raw or b"", near.words).view(np.int64) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 

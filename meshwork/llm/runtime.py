@@ -13,12 +13,13 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, release, shared_dir, stored, written
 
-__all__ = ["compacted", "discard", "documents", "files_for", "is_empty", "materialize", "prepare", "release", "shared_dir", "unpacked", "written"]
+__all__ = ["bitmap", "compacted", "discard", "documents", "files_for", "has_bit", "is_empty", "materialize", "prepare", "release", "shared_dir", "unpacked", "written"]
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -66,6 +67,18 @@ def compacted(df: DataFrame, label: str, files: int) -> DataFrame:
     return materialize(df.coalesce(files), label)
 
 
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits in 64-bit words, one set for each ``slot`` below ``bits``: of the same size whatever the rows."""
+    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def has_bit(found: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (found[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
 def is_empty(df: DataFrame) -> bool:
     """Whether a table has no row; one row at most comes to the driver."""
     return not df.limit(1).count()
