@@ -19,9 +19,9 @@ import corpus_pipeline
 import harness
 from meshwork.llm import line_dedup as lines
 from meshwork.llm import near_dedup as near
-from meshwork.llm import packing, span_dedup, token_counts, url_filter
-from meshwork.llm.bpe import codec, vocabulary_path
-from meshwork.llm.bpe_codec import ChunkCoder, bpe_round_trip, decode_documents, encode_documents
+from meshwork.llm import bpe_codec, packing, span_dedup, token_counts, url_filter
+from meshwork.llm.bpe import vocabulary_path
+from meshwork.llm.bpe_codec import bpe_round_trip, decode_documents, encode_documents
 from meshwork.llm.components import connected_components
 from meshwork.llm.exact_dedup import exact_dedup
 from meshwork.llm.language_id import Learning, fit, gram_counts, held_out, language_id, sample
@@ -421,13 +421,18 @@ def test_round_trip(spark, odd, none):
     assert bpe_round_trip(none).count() == 0
 
 
-def test_chunks_are_reused():
-    coder = ChunkCoder(vocabulary_path())
-    shared = prose(2, 2000)
-    coder.encode(f"{prose(3, 50)} {shared}".encode())
-    before = coder.misses
-    coder.encode(f"{prose(4, 70)} {shared}".encode())
-    assert coder.misses - before < before / 2 and coder.hits > before / 2
+def test_shared_chunks_are_encoded_once(spark):
+    passage = prose(2, 2000)
+    texts = [(i, f"{prose(30 + i, 50 + 9 * i)} {passage} {prose(40 + i, 30)}") for i in range(5)] + [(9, prose(3, 900)), (10, prose(4, 3)), (11, prose(4, 3)), (12, "<|endoftext|>" + passage)]
+    held = Counter(c for _, t in texts[:-1] for c in bpe_codec.chunks_of(t.encode(), {}))
+    links, codes = bpe_codec.shared_chunks(bpe_codec._texts(table(spark, texts)), vocabulary_path())
+    shared = {c for c, n in held.items() if n > 1}
+    found = [(r.x, r.y) for r in codes.collect()]
+    assert len(shared) > 10 and len(found) == len(set(found)) and set(found) == set(map(tuple, bpe_codec.chunk_keys(sorted(shared)).tolist()))
+    assert links.count() == sum(len(shared & set(bpe_codec.chunks_of(t.encode(), {}))) for t in {t for _, t in texts[:-1]})
+    tok = tokenizer()
+    got = {r.doc_id: r.ids_sha256 for r in bpe_round_trip(table(spark, texts)).collect()}
+    assert got == {i: hashlib.sha256(encoded(tok, t).tobytes()).hexdigest() for i, t in texts}
 
 
 def test_token_counts(spark, odd, none):
