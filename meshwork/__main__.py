@@ -31,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
             if p.default is p.empty:
                 sub.add_argument(option, required=True, nargs="+" if p.name == "paths" else None)
             elif isinstance(p.default, bool):
-                sub.add_argument(option, action="store_true")
+                off = "--no-" + option.removeprefix("--")
+                sub.add_argument(off if p.default else option, dest=p.name, action="store_false" if p.default else "store_true")
             elif isinstance(p.default, tuple):
                 sub.add_argument(option, nargs="+", type=int, default=p.default)
             else:

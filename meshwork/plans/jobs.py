@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 from functools import reduce
+from pathlib import Path
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ from ..operators.graph import Graph
 from ..operators.ranking import ranked
 from ..sources import store
 from ..sources.catalog import DATASETS, dataset
-from ..sources.files import missing_files, read_dataset
+from ..sources.files import missing_files, read_dataset, resolved
 
+#: Where folders that are given as relative paths may also lie.
+BASES = (str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parents[3]))
 SPLIT_MODES = ("random_stratified", "entity_disjoint")
 METHODS = ("knn", "sym", "mutual", "topm")
 
@@ -32,7 +35,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 def inspect(spark: SparkSession, data_dir: str, out_dir: str, sample_rows: int = 200_000, seed: int = 42) -> list[str]:
     """Profile, schema and summary of every dataset whose files are there."""
-    done, summary = [], []
+    done, summary, data_dir = [], [], resolved(spark, data_dir, BASES)
     for spec in DATASETS.values():
         if missing_files(spark, spec.paths(data_dir)):
             continue
@@ -59,6 +62,7 @@ def prepare_dataset(spark: SparkSession, name: str, data_dir: str, schema_dir: s
     if split_mode not in SPLIT_MODES:
         raise ValueError(f"unknown split mode {split_mode!r}")
     spec = dataset(name)
+    data_dir, schema_dir = resolved(spark, data_dir, BASES), resolved(spark, schema_dir, BASES)
     schema = store.parse_flat_yaml(store.read_text(spark, f"{schema_dir}/{name}/schema.yaml"))
     df = with_row_id(read_dataset(spark, spec, data_dir).drop("_source_file"))
     by_file = len(spec.parts) == 2
@@ -95,7 +99,9 @@ def prepare_dataset(spark: SparkSession, name: str, data_dir: str, schema_dir: s
 
 
 def _metadata(spark: SparkSession, processed_dir: str, name: str) -> dict:
-    return store.read_json(spark, f"{processed_dir}/{name}/metadata.json")
+    """The metadata document; its ``path`` is the folder of the rows."""
+    processed_dir = resolved(spark, processed_dir, BASES)
+    return {"path": f"{processed_dir}/{name}/data"} | store.read_json(spark, f"{processed_dir}/{name}/metadata.json")
 
 
 def _stored_config(spark: SparkSession, path: str) -> dict | None:
@@ -136,7 +142,7 @@ def build_graphs(spark: SparkSession, name: str, processed_dir: str, out_dir: st
         graph_scope, ks, directedness, self_loops, metric, pca_dim = preset["graph_scope"], preset["ks"], preset["directedness"], preset["self_loops"], preset["metric"], pca_dim or preset["pca_dim"]
     document = _metadata(spark, processed_dir, name)
     roles = document["roles"]
-    df = store.read_processed(spark, f"{processed_dir}/{name}/data")
+    df = store.read_processed(spark, document["path"])
     data = document.get("fingerprint") or store.fingerprint(df)
     key = {"dataset": name, "data": data, "scope": graph_scope, "metric": metric, "pca": pca_dim, "kind": "features", "roles": roles, "centred": centred}
     begun = perf_counter()
@@ -180,7 +186,7 @@ def build_budget_graphs(spark: SparkSession, name: str, processed_dir: str, out_
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     document = _metadata(spark, processed_dir, name)
-    roles, rows = document["roles"], store.read_processed(spark, f"{processed_dir}/{name}/data")
+    roles, rows = document["roles"], store.read_processed(spark, document["path"])
     data = document.get("fingerprint") or store.fingerprint(rows)
     begun = perf_counter()
     df = split.sample_grouped(rows, "row_id", "split", "y_bin", max_nodes, seed).cache()
@@ -254,8 +260,9 @@ def analyse(spark: SparkSession, results_dir: str, out_dir: str, prefix: str = "
 
 
 def check_processed(spark: SparkSession, processed_dir: str, name: str) -> DataFrame:
-    roles = _metadata(spark, processed_dir, name)["roles"]
-    return checks.processed_violations(store.read_processed(spark, f"{processed_dir}/{name}/data"), roles["features"], roles["labels"])
+    document = _metadata(spark, processed_dir, name)
+    roles = document["roles"]
+    return checks.processed_violations(store.read_processed(spark, document["path"]), roles["features"], roles["labels"])
 
 
 def check_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import Graph
 
@@ -136,11 +137,13 @@ def write_results(results: DataFrame, root: str) -> None:
 
 def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All run results below a folder; lines that are no JSON are left out with a warning."""
-    df = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").json(root)
-    every = [F.count(F.col(c)) for c in df.columns if c not in RUN]  # a scan for the broken text alone is refused
-    if broken := df.agg(F.count("_broken").alias("broken"), *every).first()["broken"]:
+    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(schema)}
+    own = ", ".join(f"{c} {kind}" for c, kind in kinds.items() if c not in RUN)
+    lines = spark.read.schema(", ".join(["value string", *(f"{c} {kinds[c]}" for c in RUN)])).text(root)
+    found = lines.withColumn("r", F.from_json("value", f"{own}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    if broken := found.agg(F.count("r._broken").alias("broken")).first()["broken"]:
         warnings.warn(f"{broken} unreadable results below {root} are left out", stacklevel=2)
-    return df.where("_broken is null and graph_id is not null").drop("_broken")
+    return found.where("r._broken is null and graph_id is not null").select(*(c if c in RUN else F.col(f"r.{c}") for c in kinds))
 
 
 def fingerprint(df: DataFrame) -> str:

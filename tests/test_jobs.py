@@ -60,7 +60,7 @@ def test_from_files_to_results(spark, folder):
     assert sorted((r.model, r.seed) for r in both) == [("gat", 1), ("gat", 2), ("gcn", 0), ("gcn", 1)]
     with pytest.raises(ValueError):
         jobs.train(spark, budget * 2, f"{folder}/results")
-    assert spark.read.csv(f"{folder}/analysis/mean_mcc", header=True).count() == 1
+    assert spark.read.csv(f"{folder}/analysis/mean_mcc", header=True).count() == 2
 
 
 def test_results_have_areas_and_costs(spark, folder):
@@ -122,5 +122,6 @@ def test_ratios_and_names_are_checked(spark, folder):
 
 
 def test_command_line():
-    got = vars(parser().parse_args(["build-graphs", "--name", "kdd", "--processed-dir", "p", "--out-dir", "o", "--ks", "4", "8", "--overwrite"]))
-    assert got["ks"] == [4, 8] and got["overwrite"] and got["max_nodes"] is None and got["graph_scope"] == "transductive"
+    got = vars(parser().parse_args(["build-graphs", "--name", "kdd", "--processed-dir", "p", "--out-dir", "o", "--ks", "4", "8", "--overwrite", "--no-centred"]))
+    assert got["ks"] == [4, 8] and got["overwrite"] and got["max_nodes"] is None and got["graph_scope"] == "transductive" and got["centred"] is False
+    assert vars(parser().parse_args(["build-graphs", "--name", "kdd", "--processed-dir", "p", "--out-dir", "o"]))["centred"] is True
