@@ -267,11 +267,11 @@ def refilled(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
 
 
 def packed(lengths: dict[int, int], capacity: int) -> dict[Pattern, int]:
-    """The fewest bins that the search finds from best-fit decreasing or, short of the lower bound, from a bin for each piece."""
+    """The fewest bins that the search finds from best-fit decreasing or, a hundredth or more above the bound, from a bin for each piece."""
     least = -(-sum(n * m for n, m in lengths.items()) // capacity)
     best: dict[Pattern, int] = {}
     for start in (best_fit_decreasing, lambda own, _: {((n, 1),): m for n, m in own.items()}):
-        if best and sum(best.values()) <= least:
+        if best and 100 * sum(best.values()) < 101 * least:
             break
         found = refilled(local_search(start(lengths, capacity), capacity), capacity)
         best = found if not best or sum(found.values()) < sum(best.values()) else best
