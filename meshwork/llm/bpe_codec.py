@@ -81,6 +81,11 @@ def chunk_keys(chunks: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), np.int64).reshape(-1, 2)
 
 
+def width(own: Codec) -> str:
+    """How the ids of cores are stored: in 16 bits where the vocabulary fits."""
+    return "<u2" if len(own.token_bytes) <= 1 << 16 else "<u4"
+
+
 def coded(chunk: bytes, own: Codec) -> Entry:
     """(head, ids of the core, tail) of a chunk; without a core it is all head."""
     text = chunk.decode()
@@ -90,7 +95,7 @@ def coded(chunk: bytes, own: Codec) -> Entry:
         last = text.rfind(" ", 0, last)
     if not safe or last <= safe.start():
         return chunk, None, b""
-    return text[: safe.start()].encode(), own.encode(text[safe.start() : last]).tobytes(), text[last:].encode()
+    return text[: safe.start()].encode(), own.encode(text[safe.start() : last]).astype(width(own)).tobytes(), text[last:].encode()
 
 
 def joined(chunks: list[bytes], known: dict[tuple[int, int], Entry], own: Codec) -> np.ndarray:
@@ -102,7 +107,7 @@ def joined(chunks: list[bytes], known: dict[tuple[int, int], Entry], own: Codec)
         if core is not None:
             if any(joint):
                 parts.append(own.encode(b"".join(joint).decode()))
-            parts.append(np.frombuffer(core, "<u4"))
+            parts.append(np.frombuffer(core, width(own)).astype("<u4"))
             joint = [tail]
     if any(joint):
         parts.append(own.encode(b"".join(joint).decode()))
