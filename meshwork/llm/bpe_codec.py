@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, codec, vocabulary_path
-from .runtime import bitmap, documents, has_bit, materialize, prepare
+from .runtime import bitmap, documents, has_bit, prepare
 
 #: Chunks are cut on average every 2**CUT_BITS bytes, and never below MIN_CHUNK.
 CUT_BITS, MIN_CHUNK = 9, 128
@@ -40,7 +40,7 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TEXTS = "doc_id long, raw binary, tx long, ty long"
-HELD = "tx long, ty long, x long, y long, chunk binary"
+HELD = "tx long, ty long, x long, y long"
 CODES = "x long, y long, head binary, core binary, tail binary"
 
 Entry = tuple[bytes, bytes | None, bytes]
@@ -123,8 +123,8 @@ def _slot(key: str):
     return F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")
 
 
-def shared_chunks(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(links, codes): which texts hold which shared chunks, and each of those encoded once."""
+def repeated(texts: DataFrame, path: str) -> np.ndarray:
+    """The bitmap of the chunks that occur more than once."""
 
     def count(batches):
         specials = codec(path).specials
@@ -134,11 +134,20 @@ def shared_chunks(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(n.astype(np.int64))], ["x", "y", "n"])
 
     counts = texts.mapInArrow(count, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
-    often = bitmap(counts.where("n > 1").select(_slot("x")), FILTER_BITS)
+    return bitmap(counts.where("n > 1").select(_slot("x")), FILTER_BITS)
+
+
+def _picked(batch: pa.RecordBatch, holding: np.ndarray, wanted: bool) -> pa.RecordBatch:
+    return batch.filter(pa.array(has_bit(holding, batch.column(2).to_numpy() & (FILTER_BITS - 1)) == wanted))
+
+
+def _held(texts: DataFrame, path: str, often: np.ndarray, holding: np.ndarray | None, with_chunks: bool) -> DataFrame:
+    """A row for each text and repeated chunk in it; with ``holding``, other texts are not looked at."""
 
     def hold(batches):
         specials = codec(path).specials
         for batch in batches:
+            batch = batch if holding is None else _picked(batch, holding, True)
             rows = ([], [], [], [], [])
             for raw, tx, ty in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 chunks = chunks_of(raw or b"", specials)
@@ -147,7 +156,19 @@ def shared_chunks(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
                 for (x, y), chunk in found.items():
                     for column, value in zip(rows, (tx, ty, x, y, chunk)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows[:4]), pa.array(rows[4], pa.binary())], ["tx", "ty", "x", "y", "chunk"])
+            columns = [pa.array(r, pa.int64()) for r in rows[:4]] + [pa.array(rows[4], pa.binary())] * with_chunks
+            yield pa.RecordBatch.from_arrays(columns, ["tx", "ty", "x", "y", "chunk"][: len(columns)])
+
+    return texts.mapInArrow(hold, HELD + ", chunk binary" * with_chunks)
+
+
+def shared_chunks(texts: DataFrame, path: str, often: np.ndarray | None = None, holding: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, codes): which texts hold which shared chunks, and each of those encoded once.
+
+    Neither is stored: the texts are cut again for each, which costs some time
+    and saves files of all copies of the chunks.
+    """
+    often = repeated(texts, path) if often is None else often
 
     def encode(batches):
         own = codec(path)
@@ -155,35 +176,32 @@ def shared_chunks(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             found = [coded(chunk, own) for chunk in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], ["x", "y", "head", "core", "tail"])
 
-    held = materialize(texts.mapInArrow(hold, HELD), "chunks")
-    codes = materialize(held.groupBy("x", "y").agg(F.first("chunk").alias("chunk")).mapInArrow(encode, CODES), "codes")
-    return held.select("tx", "ty", "x", "y").distinct(), codes
+    chunks = _held(texts, path, often, holding, True).groupBy("x", "y").agg(F.first("chunk").alias("chunk"))
+    return _held(texts, path, often, holding, False).distinct(), chunks.mapInArrow(encode, CODES)
 
 
 def encoded(docs: DataFrame, path: str, finish: Callable, schema: str) -> DataFrame:
     """A row for each document: doc_id and what ``finish(ids, codec)`` makes of its ids; schema: all columns."""
     prepare(docs.sparkSession)
     texts = _texts(docs)
-    links, codes = shared_chunks(texts, path)
-    holding = bitmap(links.select(_slot("tx")), FILTER_BITS)
+    often = repeated(texts, path)
+    holding = bitmap(_held(texts, path, often, None, False).select(_slot("tx")), FILTER_BITS)
+    links, codes = shared_chunks(texts, path, often, holding)
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def rows(doc_ids, found):
         return pa.RecordBatch.from_arrays([doc_ids, *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds[1:]))], names)
 
-    def picked(batch, wanted: bool):
-        return batch.filter(pa.array(has_bit(holding, batch.column(2).to_numpy() & (FILTER_BITS - 1)) == wanted))
-
     def alone(batches):
         own = codec(path)
         for batch in batches:
-            batch = picked(batch, False)
+            batch = _picked(batch, holding, False)
             yield rows(batch.column(0), [finish(own.encode((raw or b"").decode()), own) for raw in batch.column(1).to_pylist()])
 
     def sharing(batches):
         for batch in batches:
-            yield picked(batch, True)
+            yield _picked(batch, holding, True)
 
     def together(batches):
         own = codec(path)
@@ -212,7 +230,8 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def finish(ids, own):
         return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
-    return encoded(docs, path or vocabulary_path(), finish, SCHEMA)
+    # The rows are small: dealt again, they are not written in a file for each task that encoded some.
+    return encoded(docs, path or vocabulary_path(), finish, SCHEMA).hint("rebalance")
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -27,6 +27,7 @@ from meshwork.llm.exact_dedup import exact_dedup
 from meshwork.llm.language_id import Learning, fit, gram_counts, held_out, language_id, sample
 from meshwork.llm.media import from_wav, media_columns, padded, to_wav
 from meshwork.llm.queries import oracle_sql, queries
+from meshwork.sources import shared
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -435,6 +436,18 @@ def test_shared_chunks_are_encoded_once(spark):
     assert got == {i: hashlib.sha256(encoded(tok, t).tobytes()).hexdigest() for i, t in texts}
 
 
+def test_round_trip_writes_few_files(spark, tmp_path):
+    """Each file that executors write in a local folder forks them, which counts their memory twice for a moment."""
+    before = shared.written(spark)
+    texts = [(i, f"{prose(2, 2000)} {prose(50 + i, 40)}" if i % 2 else prose(60 + i, 90)) for i in range(40)]
+    bpe_round_trip(table(spark, texts).repartition(20)).write.parquet(f"{tmp_path}/out")
+    assert shared.written(spark) == before
+    assert len(list(tmp_path.glob("out/*.parquet"))) == 1
+    tok = tokenizer()
+    got = {r.doc_id: r.ids_sha256 for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {i: hashlib.sha256(encoded(tok, t).tobytes()).hexdigest() for i, t in texts}
+
+
 def test_token_counts(spark, odd, none):
     """Against the tokenizers library, to which added tokens' strings are ordinary text."""
     plain = tokenizer()
