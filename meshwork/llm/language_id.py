@@ -126,9 +126,9 @@ def sample(labelled: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.nda
     def run(batches):
         for batch in batches:
             counted = [gram_counts(text) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[0] for c in counted], pa.list_(pa.int64())), pa.array([c[1] for c in counted], pa.list_(pa.int64()))], ["doc_id", "lang", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[0].astype(np.int16) for c in counted], pa.list_(pa.int16())), pa.array([c[1].astype(np.int32) for c in counted], pa.list_(pa.int32()))], ["doc_id", "lang", "slots", "counts"])
 
-    got = found.mapInArrow(run, "doc_id long, lang string, slots array<long>, counts array<long>").toArrow().sort_by([("doc_id", "ascending")])
+    got = found.mapInArrow(run, "doc_id long, lang string, slots array<short>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
     rank = {name: k for k, name in enumerate(names)}
     rows_here = sorted(range(got.num_rows), key=lambda k: (rank[got["doc_id"][k].as_py()], got["lang"][k].as_py()))[:rows]
     return [(got["lang"][k].as_py(), np.asarray(got["slots"][k].values), np.asarray(got["counts"][k].values)) for k in rows_here]

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.memory import hand_back_now_and_then
 from ..sources.shared import discard, release, shared_dir, stored, written
 
 __all__ = ["bitmap", "compacted", "discard", "documents", "files_for", "has_bit", "is_empty", "materialize", "prepare", "release", "shared_dir", "unpacked", "written"]
@@ -31,7 +32,11 @@ FILE_ROWS, FEW_FILES = 50_000, 24
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make the package importable on executors and bound the Arrow batches; a setting that the session has stays."""
+    """Make the package importable on executors and bound the Arrow batches; a setting that the session has stays.
+
+    Every operator begins with this, so what the last one has freed on the driver goes back to the system here.
+    """
+    hand_back_now_and_then(spark)
     for name, value in BATCH.items():
         if spark.conf.get(name, None) is None:
             spark.conf.set(name, value)

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .memory import hand_back_now_and_then
+
 #: Paths of the tables that are there, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -33,6 +35,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshwork/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
+    hand_back_now_and_then(spark)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import itertools
@@ -10,6 +11,7 @@ import re
 import wave
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -27,7 +29,8 @@ from meshwork.llm.exact_dedup import exact_dedup
 from meshwork.llm.language_id import Learning, fit, gram_counts, held_out, language_id, sample
 from meshwork.llm.media import from_wav, media_columns, padded, to_wav
 from meshwork.llm.queries import oracle_sql, queries
-from meshwork.sources import shared
+from meshwork.llm.runtime import materialize, prepare
+from meshwork.sources import memory, shared
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -691,3 +694,48 @@ def test_pipeline(spark, tmp_path):
     docs = stages(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), f"{tmp_path}/stages")
     assert {r.doc_id: r.text for r in docs.collect()} == wanted
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), list(wanted.items()), packing.CAPACITY)
+
+
+def held_mb(pid="self"):
+    return int(re.search(r"Anonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+
+
+@pytest.mark.parametrize("step", [prepare, lambda spark: materialize(spark.range(1), "one"), memory.hand_back])
+def test_driver_hands_back_what_it_has_freed(spark, monkeypatch, step):
+    monkeypatch.setattr(memory, "EVERY", -1)
+    c = ctypes.CDLL(None)
+    c.malloc.restype, c.malloc.argtypes, c.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    own = [c.malloc(20_000) for _ in range(5000)]
+    for at in own:
+        ctypes.memset(at, 1, 20_000)
+    full = held_mb()
+    for at in own[:-1]:  # the last one keeps the rest from going by itself
+        c.free(at)
+    assert held_mb() > full - 20
+    step(spark)
+    c.free(own[-1])
+    assert held_mb() < full - 60
+
+
+def test_jvm_hands_back_what_it_has_freed(spark):
+    java, pid = spark._jvm.org.apache.spark.unsafe.Platform, int(spark._jvm.java.lang.ProcessHandle.current().pid())
+    own = [java.allocateMemory(100_000) for _ in range(1000)]
+    for at in own:
+        java.setMemory(at, 1, 100_000)
+    full = held_mb(pid)
+    for at in own[:-1]:
+        java.freeMemory(at)
+    assert held_mb(pid) > full - 20
+    memory.hand_back(spark)
+    java.freeMemory(own[-1])
+    assert held_mb(pid) < full - 60
+
+
+def test_sample_travels_in_few_bytes(spark, monkeypatch):
+    seen = []
+    to_arrow = type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: seen.append(self.dtypes) or to_arrow(self))
+    text = "ein Satz " * 40_000
+    (lang, slots, counts), *_ = sample(table(spark, [(1, text)], "de"), 5)
+    assert lang == "de" and [x.tolist() for x in (slots, counts)] == [x.tolist() for x in gram_counts(text)] and counts.max() > 32767
+    assert dict(seen[-1])["slots"] == "array<smallint>" and dict(seen[-1])["counts"] == "array<int>"
